@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.functions.text import strip_accents
+
 #: Searched attributes by priority.
 ATTRIBUTES = ["title", "author", "description", "isbn"]
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Words in lower case and without accents."""
+    return F.filter(F.split(strip_accents(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def query_words(query: str) -> list[str]:
+    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
+    return "".join(c if c.isalnum() else " " for c in plain).split()
 
 
 def budget(word: str) -> int:
@@ -32,7 +42,7 @@ def matches(df: DataFrame, query: str, attributes: list[str] = ATTRIBUTES) -> Da
     it. Only the query is broadcast, as literals; the documents are read once, with no join, and each is scored where it
     lies, so a hot token costs nothing extra.
     """
-    words = [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()]
+    words = query_words(query)
 
     def typos(attribute: str, w: str, last: bool) -> Column:
         """The least typing errors with which a token of an attribute meets the word; null if none does."""
@@ -57,7 +67,7 @@ def matches(df: DataFrame, query: str, attributes: list[str] = ATTRIBUTES) -> Da
 
 def search(df: DataFrame, query: str, page: int = 1, limit: int = 20, strategy: str = "all", attributes: list[str] = ATTRIBUTES) -> DataFrame:
     """A page of hits by words, typos, attribute, exactness and id. 'all' asks for every word, 'last' for at least one."""
-    n = len("".join(c if c.isalnum() else " " for c in query.lower()).split())
+    n = len(query_words(query))
     m = matches(df, query, attributes)
     if strategy == "all":
         m = m.where(F.col("words") == n)

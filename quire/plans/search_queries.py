@@ -29,8 +29,8 @@ def search_page(spark, d):
 
 
 def _match_sql(q: str) -> str:
-    words = q.lower().split()
-    arr = lambda a: f"list_filter(regexp_split_to_array(lower(coalesce({a}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+    words = se.query_words(q)
+    arr = lambda a: f"list_filter(regexp_split_to_array(lower(strip_accents(coalesce({a}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
     hits, exact = [], []
     for i, w in enumerate(words):
         pre = f"WHEN starts_with(t, '{w}') THEN 0 " if i == len(words) - 1 else ""
@@ -45,14 +45,14 @@ def _match_sql(q: str) -> str:
 _SEL = "SELECT id, CAST(words AS INT) AS words, CAST(typos AS INT) AS typos, CAST(attribute AS INT) AS attribute, CAST(exact AS INT) AS exact FROM"
 
 
-@query(f"{_SEL} {_match_sql('lecciones sobre inflacion')} WHERE words = 3 ORDER BY words DESC, typos, attribute, exact DESC, id LIMIT 50")
+@query(f"{_SEL} {_match_sql('lecciones sobre la')} WHERE words = 3 ORDER BY words DESC, typos, attribute, exact DESC, id LIMIT 50")
 def search_rank(spark, d):
-    return se.search(_docs(spark, d), "lecciones sobre inflacion", limit=50)
+    return se.search(_docs(spark, d), "lecciones sobre la", limit=50)
 
 
-@query(f"{_SEL} {_match_sql('leciones gramatica')}")
+@query(f"{_SEL} {_match_sql('leciones introductoin')}")
 def search_typo(spark, d):
-    return se.matches(_docs(spark, d), "leciones gramatica").select("id", "words", "typos", "attribute", "exact")
+    return se.matches(_docs(spark, d), "leciones introductoin").select("id", "words", "typos", "attribute", "exact")
 
 
 @query(f"{_SEL} {_match_sql('introduction zzzz')} ORDER BY words DESC, typos, attribute, exact DESC, id LIMIT 5")

@@ -96,7 +96,7 @@ def _g(src: str, p: str) -> str:
 
 
 @query(rf"""SELECT file_hash, coalesce({_g('s', '(?i)([0-9]{1,2}(?:st|nd|rd|th)) edition')}, {_g('s', '(?i)edition ([0-9]{1,2})')}, {_g('s', '(?i)(first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth) edition')}, {_g('s', '(?i)([0-9]{1,2})[ªa] ed')}) AS edition
-    FROM (SELECT file_hash, filename || ' ' || substr(markdown, 1, 2000) AS s FROM conversions)""")
+    FROM (SELECT file_hash, concat_ws(' ', filename, substr(markdown, 1, 2000)) AS s FROM conversions)""")
 def edition_extract(spark, d):
     return table(spark, d, "conversions").select("file_hash", tx.edition_extract(F.col("filename"), F.col("markdown")).alias("edition"))
 
