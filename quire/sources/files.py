@@ -17,7 +17,10 @@ def collect_files(spark: SparkSession, target: str, pattern: str = "*.pdf") -> D
 
 
 def gate(files: DataFrame, most_bytes: int) -> DataFrame:
-    """`status`: accepted, too_large, empty or rejected_type, from path and length alone, so that bytes stay unread."""
+    """`status`: accepted, too_large, empty or rejected_type, from path and length alone, so that bytes stay unread.
+
+    Spark's file sources list no files of zero bytes, so `empty` concerns tables from other sources.
+    """
     ext = F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1)
     return files.withColumn("status", F.when(~ext.isin(*SUFFIXES), "rejected_type").when(F.col("length") > most_bytes, "too_large").when(F.col("length") == 0, "empty").otherwise("accepted"))
 
