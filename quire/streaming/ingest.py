@@ -43,11 +43,12 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{max(versions)}")
 
 
-def bucket_stream(stream: DataFrame, key: str, event: str, seconds: str, capacity: float = 30.0, rate: float = 0.5, idle_ms: int = 3_600_000) -> DataFrame:
+def bucket_stream(stream: DataFrame, key: str, event: str, seconds: str, capacity: float = 30.0, rate: float = 0.5, idle_ms: int | None = 3_600_000) -> DataFrame:
     """The token bucket over a stream: (tokens, last) per key in the state store, dropped after idle_ms without requests.
 
     A global least-recently-used bound over all keys has no counterpart in keyed state; the idle time bounds it instead.
-    Within a micro-batch the requests of a key are taken in the order of (seconds, event).
+    With an idle time Spark keeps running batches without data, so such a query never ends by itself; a run that should
+    end (availableNow) takes idle_ms None and keeps its state. Within a micro-batch the requests of a key are taken in the order of (seconds, event).
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -62,11 +63,12 @@ def bucket_stream(stream: DataFrame, key: str, event: str, seconds: str, capacit
             last = s
             out.append((k[0], int(e), bool(ok), int(wait)))
         state.update((float(tokens), float(last)))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "event", "allowed", "wait_s"])
 
     src = stream.select(F.col(key).cast("string").alias("key"), F.col(event).cast("long").alias("event"), F.col(seconds).cast("double").alias("s"))
-    return src.groupBy("key").applyInPandasWithState(step, "key string, event long, allowed boolean, wait_s long", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return src.groupBy("key").applyInPandasWithState(step, "key string, event long, allowed boolean, wait_s long", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def daily_counts_stream(stream: DataFrame, time: str, delay: str = "3 days") -> DataFrame:

@@ -24,7 +24,7 @@ def test_bucket_stream_equals_batch(spark, tmp_path):
     rows = [("a", i, float(i // 3)) for i in range(12)] + [("b", 100 + i, float(i)) for i in range(5)]
     df = spark.createDataFrame(rows, "k string, e long, s double")
     df.coalesce(1).write.parquet(str(tmp_path / "src"))
-    st = sm.bucket_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "src")), "k", "e", "s", 3, 0.5)
+    st = sm.bucket_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "src")), "k", "e", "s", 3, 0.5, idle_ms=None)
     st.writeStream.format("memory").queryName("bucket_out").outputMode("append").option("checkpointLocation", str(tmp_path / "chk")).trigger(availableNow=True).start().awaitTermination()
     got = {r["event"]: r["allowed"] for r in spark.table("bucket_out").collect()}
     assert got == {r["event"]: r["allowed"] for r in token_bucket(df, "k", "e", "s", 3, 0.5).collect()}
