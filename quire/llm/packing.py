@@ -42,17 +42,21 @@ def runs(batches: Iterator[pa.RecordBatch], col: int = 0) -> Iterator[pa.Table]:
         yield held
 
 
+class _Codes(dict):
+    def __missing__(self, w: str) -> int:
+        v = zlib.crc32(w.encode("utf-8", "replace"))
+        if len(self) < 300_000:
+            self[w] = v
+        return v
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    code: dict[str, int] = {}
+    code = _Codes()
     for b in batches:
         ids, counts = [], []
         for t in b.column(1).to_pylist():
             c = Counter(_WORD.findall((t or "").lower()))
-            for w in c.keys() - code.keys():
-                if len(code) > 300_000:
-                    code.clear()
-                code[w] = zlib.crc32(w.encode("utf-8", "replace"))
-            ids.append(np.array([code.get(w) or zlib.crc32(w.encode("utf-8", "replace")) for w in c], np.uint32).tobytes())
+            ids.append(np.array([code[w] for w in c], np.uint32).tobytes())
             counts.append(np.minimum(np.fromiter(c.values(), np.int64, len(c)), 65535).astype(np.uint16).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["id", "terms", "tf"])
 
