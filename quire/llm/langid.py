@@ -151,7 +151,7 @@ def fit_ppm(samples: Iterable[tuple[str, str]], garbles: list[tuple[str, str]] =
                         forms.append(once)
                         if was == "utf-8" and read in ("cp1252", "latin-1"):
                             forms.append(_read_wrongly(once, was, read))
-        data.append(np.frombuffer(_clean("\n".join(forms)), np.uint8))
+        data.append(np.frombuffer(b" " * (ORDER + 1) + _clean("\n".join(forms)), np.uint8))
     keys, bits, escape = [], [], []
     n_lang = len(languages)
     prev_keys = prev_bits = None
