@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quire.session import ship
+from quire.session import materialize, ship
 
 
 def bucket_step(tokens: float, last: float, now: float, capacity: float, rate: float) -> tuple[float, bool, int]:
@@ -43,8 +43,28 @@ def token_bucket(df: DataFrame, key: str, event: str, seconds: str, capacity: fl
     return src.repartition("key").sortWithinPartitions("key", "s", "event").mapInArrow(lambda it: _fold(it, capacity, rate), "key string, event long, allowed boolean, wait_s long")
 
 
+def prefix_sum(df: DataFrame, key: list[str], order: list[str], value: str, name: str = "prefix") -> DataFrame:
+    """Running sum per key in an order that breaks all ties, without one task holding a whole key.
+
+    Rows are range-partitioned by (key, order), so a hot key spans many partitions; sums run inside each part and are
+    shifted by the totals of the key's earlier parts, of which there is one row per key and part.
+    """
+    parted = materialize(df.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()), "prefix")
+    inside = parted.withColumn("_in", F.sum(value).over(W.partitionBy("_part", *key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    parts = parted.groupBy(*key, "_part").agg(F.sum(value).alias("_sum"))
+    shift = parts.withColumn("_before", F.sum("_sum").over(W.partitionBy(*key).orderBy("_part")) - F.col("_sum")).drop("_sum")
+    on = None
+    left, right = inside.alias("l"), shift.alias("r")
+    for k in [*key, "_part"]:
+        c = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        on = c if on is None else on & c
+    return left.join(right, on).select("l.*", F.col("r._before")).withColumn(name, F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_part", "_in", "_before")
+
+
 def quota(df: DataFrame, key: list[str], order: list[str], asked: str, limit) -> DataFrame:
-    """`granted` per request: what is left of the limit per key, by a clamped running sum (a window partitioned by key)."""
-    w = W.partitionBy(*key).orderBy(*order)
-    cum = F.sum(asked).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("granted", (F.least(F.lit(limit), cum) - F.least(F.lit(limit), cum - F.col(asked))).cast("long"))
+    """`granted` per request: what is left of the limit per key, by a clamped running sum; `order` must break all ties.
+
+    Null keys are one key; a null request asks for nothing.
+    """
+    p = prefix_sum(df, key, order, asked, "_cum")
+    return p.withColumn("granted", (F.least(F.lit(limit), F.col("_cum")) - F.least(F.lit(limit), F.col("_cum") - F.coalesce(asked, F.lit(0)))).cast("long")).drop("_cum")

@@ -85,6 +85,13 @@ def test_token_bucket_and_quota_folds(spark):
     assert sorted((r["u"], r["t"], r["granted"]) for r in lm.quota(df, ["u"], ["t"], "n", 5).collect()) == [("u", 1, 3), ("u", 2, 2), ("u", 3, 0), ("v", 1, 5)]
 
 
+def test_prefix_sum_of_a_hot_key(spark):
+    rows = [("hot", i, 1) for i in range(500)] + [(f"k{i}", i, 2) for i in range(50)] + [(None, 1, 3), (None, 2, None)]
+    df = spark.createDataFrame(rows, "k string, t int, n long")
+    got = {(r["k"], r["t"]): r["prefix"] for r in lm.prefix_sum(df, ["k"], ["t"], "n").collect()}
+    assert got == {**{("hot", i): i + 1 for i in range(500)}, **{(f"k{i}", i): 2 for i in range(50)}, (None, 1): 3, (None, 2): 3}
+
+
 def test_zipf_coverage_cases(spark):
     def z(counts, shares):
         df = spark.createDataFrame([(i, c) for i, c in enumerate(counts)] or [(0, 0)], "k int, n long")
