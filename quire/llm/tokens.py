@@ -121,7 +121,8 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULA
     spark = df.sparkSession
     ship(spark)
     arrow_rows(spark, 10_000)
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null").withColumn("row", F.struct("id", F.xxhash64("t").alias("h")))
+    # a row is known by 96 bits of its id and text, so that neither is shuffled with the pieces
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null").withColumn("row", F.struct(F.xxhash64("id", "t").alias("h"), F.hash("t", "id").alias("g")))
     words = src.select("row", F.explode(F.regexp_extract_all("t", F.lit(PIECES), F.lit(0))).alias("piece"))
     # which pieces are broadcast is chosen from a sample; whatever it misses is counted exactly by the other way
     some = src.sample(0.05, seed=5).select(F.explode(F.regexp_extract_all("t", F.lit(PIECES), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "piece").limit(head)
@@ -134,5 +135,5 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULA
     rare = part.where("rest is not null").join(counted, F.col("rest") == F.col("piece")).select("row", (counted["tokens"] * F.col("n")).cast("long").alias("tokens"))
     total = part.where("rest is null").select("row", F.col("tokens").cast("long").alias("tokens")).union(rare).groupBy("row").agg(F.sum("tokens").alias("tokens"))
     # copies of one row were summed together
-    rows = src.groupBy("row").agg(F.count("*").alias("copies"))
-    return rows.join(total, "row", "left").select("row.id", F.coalesce((F.col("tokens") / F.col("copies")).cast("long"), F.lit(0)).cast("long").alias("tokens"))
+    rows = src.groupBy("row").agg(F.first("id").alias("id"), F.count("*").alias("copies"))
+    return rows.join(total, "row", "left").select("id", F.coalesce((F.col("tokens") / F.col("copies")).cast("long"), F.lit(0)).cast("long").alias("tokens"))
