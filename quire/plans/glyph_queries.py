@@ -73,20 +73,20 @@ def _glyphs(spark, docs):
 
 @query(r"""SELECT * FROM (VALUES (1, 'no sol'), (2, 'rn'), (3, '= \frac{4}{3}'), (4, 'x_i^2'), (5, 'note'), (6, 'Hi'), (7, 'x^2'), (8, 'H_2O'), (9, 'AB|CD'), (10, 'A B C')) t(doc_id, text)""")
 def line_render(spark, d):
-    return gl.render(_glyphs(spark, {k: [v] for k, v in _LINES.items()}), 10.0).select("doc_id", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"))
+    return gl.render(_glyphs(spark, {k: [v] for k, v in _LINES.items()}), 10.0).select(F.col("doc_id").cast("int").alias("doc_id"), F.replace("text", F.lit("\n"), F.lit("|")).alias("text"))
 
 
 @query(r"""SELECT * FROM (VALUES (1, '\begin{bmatrix}|1 & 2 & 3 \\|4 & 5 & 6|\end{bmatrix}'), (2, '1 2|4 5')) t(doc_id, text)""")
 def matrix_render(spark, d):
     two = [[("1", 2, 8, 100), ("2", 22, 28, 100)], [("4", 2, 8, 120), ("5", 22, 28, 120)]]
-    return gl.render(_glyphs(spark, {1: _MATRIX, 2: two}), 10.0).select("doc_id", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"))
+    return gl.render(_glyphs(spark, {1: _MATRIX, 2: two}), 10.0).select(F.col("doc_id").cast("int").alias("doc_id"), F.replace("text", F.lit("\n"), F.lit("|")).alias("text"))
 
 
 @query("SELECT * FROM (VALUES (1, 'ab cd'), (2, 'ab|cd')) t(doc_id, text)")
 def line_merge(spark, d):
     one = [[("a", 0, 6, 100), ("b", 6, 12, 100)], [("c", 16, 22, 104), ("d", 22, 28, 104)]]
     two = [[("a", 0, 6, 100), ("b", 6, 12, 100)], [("c", 16, 22, 112), ("d", 22, 28, 112)]]
-    return gl.render(_glyphs(spark, {1: one, 2: two}), 10.0).select("doc_id", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"))
+    return gl.render(_glyphs(spark, {1: one, 2: two}), 10.0).select(F.col("doc_id").cast("int").alias("doc_id"), F.replace("text", F.lit("\n"), F.lit("|")).alias("text"))
 
 
 @query(r"""SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS digest, count(*) AS lines FROM (SELECT doc_id, i, trim(regexp_replace(ls[i], '[ \t\x0B\f\r]+', ' ', 'g')) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)) WHERE line <> '' AND NOT regexp_matches(line, '[^\x20-\x7E\p{L}\p{N}\p{P}\p{S}]') GROUP BY doc_id""")
