@@ -175,7 +175,8 @@ def repair_line(line: Column) -> Column:
     """A line without an orphan ^ or _ at its end, and with one to three open braces closed."""
     t = F.regexp_replace(line, r"[\^_]+\s*$", "")
     b = brace_state(t)
-    return F.when(~b["bad"] & b["depth"].between(1, 3), F.concat(t, F.repeat(F.lit("}"), b["depth"]))).otherwise(t)
+    # a backslash at the end would escape the brace that closes
+    return F.when(~b["bad"] & b["depth"].between(1, 3) & ~t.endswith("\\"), F.concat(t, F.repeat(F.lit("}"), b["depth"]))).otherwise(t)
 
 
 def repair_markdown(c: Column) -> Column:
