@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -56,8 +57,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts = [], []
         for t in b.column(1).to_pylist():
             c = Counter(_WORD.findall((t or "").lower()))
-            ids.append(np.array([code[w] for w in c], np.uint32).tobytes())
-            counts.append(np.minimum(np.fromiter(c.values(), np.int64, len(c)), 65535).astype(np.uint16).tobytes())
+            ids.append(array("I", map(code.__getitem__, c)).tobytes())
+            counts.append(array("H", [n if n < 65535 else 65535 for n in c.values()]).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["id", "terms", "tf"])
 
 
@@ -91,37 +92,42 @@ def bm25(terms: list[bytes], tf: list[bytes]) -> np.ndarray:
 def pack(size: np.ndarray, capacity: int, score: np.ndarray) -> np.ndarray:
     """The container number of each item; no container exceeds the capacity."""
     n = len(size)
-    box = np.full(n, -1)
     order = np.argsort(-size, kind="stable")
+    sz, score = size[order], score[np.ix_(order, order)]
+    falling = -sz
+    box = np.full(n, -1)
     free = np.ones(n, bool)
-    # unused items by size, for the best fit of the last gap
     number = 0
-    for seed in order:
+    for seed in range(n):
         if not free[seed]:
             continue
         free[seed] = False
         box[seed] = number
-        room = capacity - int(size[seed])
+        room = capacity - int(sz[seed])
         s = score[seed]
         while room > 0:
-            fit = np.flatnonzero(free & (size <= room))
+            # items are in falling size, so those that fit are the free ones from here on
+            start = int(falling.searchsorted(-room))
+            fit = free[start:].nonzero()[0]
             if not len(fit):
                 break
-            if room > capacity // 4 and room > 2 * size[fit].max():
+            fit += start
+            most = int(sz[fit[0]])
+            if room > capacity // 4 and room > 2 * most:
                 k = fit[s[fit].argmax()]
+            elif most < 0.9 * room:
+                # the gap is nearly closed: of the largest that fit, the most related
+                pair = fit[: int(falling[fit].searchsorted(-0.97 * most, "right"))]
+                k = pair[s[pair].argmax()]
             else:
-                # the gap is nearly closed: the largest that fits, the more related of equals
-                most = size[fit].max()
-                pair = fit[size[fit] >= 0.97 * most]
-                k = pair[s[pair].argmax()] if most < 0.9 * room else fit[size[fit].argmax()]
+                k = fit[0]
             free[k] = False
             box[k] = number
-            room -= int(size[k])
+            room -= int(sz[k])
         number += 1
-    return box
-
-
-_ITEM = "spec int, cap int, id string, part int, start long, size long"
+    out = np.empty(n, int)
+    out[order] = box
+    return out
 
 
 def _pack_shards(batches: Iterator[pa.RecordBatch], specs: list[tuple[int, int]], level: int, loose: float) -> Iterator[pa.RecordBatch]:
