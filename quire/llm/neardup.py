@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -158,15 +159,37 @@ def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _star(large: DataFrame, sk: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """One pivot of each bucket against all its sets: the links found, and the sets that remain."""
-    pivot = large.groupBy("node", "run").agg(F.min("k").alias("p"))
-    near = F.size(F.filter(F.sequence(F.lit(0), F.lit(T - 1)), lambda i: F.substring("sig", i * 4 + 1, F.lit(4)) == F.substring("psig", i * 4 + 1, F.lit(4)))) >= int(math.ceil(least * T))
-    m = materialize(
-        large.join(pivot, ["node", "run"]).join(sk.select("k", "sig"), "k").join(sk.select(F.col("k").alias("p"), F.col("sig").alias("psig")), "p").select("k", "node", "run", "p", (near | (F.col("k") == F.col("p"))).alias("near")),
-        "nd-star",
-    )
-    return m.where("near and k <> p").select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"), "run"), m.where("not near").select("k", "node", "run")
+def _block(t: pa.Table, threshold: float) -> pa.Table:
+    """All pairs between two parts (or within one part) of a large bucket, compared exactly."""
+    lo, hi, part = (t.column(c).to_numpy() for c in ("lo", "hi", "part"))
+    ids = t.column("id").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = count > 1  # a run of one set alone adds to no intersection
+    col, row = (np.cumsum(shared) - 1)[col][shared[col]], row[shared[col]]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    same = np.zeros((len(left), len(right)), np.float32)
+    for i in range(0, int(shared.sum()), 4096):
+        x, y = np.searchsorted(col, [i, i + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[x:y], col[x:y] - i] = 1
+        same += m[left] @ m[right].T
+    ok = same >= threshold * (size[left][:, None] + size[right][None, :] - same) - 1e-9
+    u, v = np.nonzero(np.triu(ok, 1) if len(lo) and lo[0] == hi[0] else ok)
+    return pa.table({"a": pa.array([ids[i] for i in left[u]], pa.string()), "b": pa.array([ids[i] for i in right[v]], pa.string())})
+
+
+def _all_pairs(hot: DataFrame, sets: DataFrame, threshold: float, part: int = 512) -> DataFrame:
+    """Links (a, b) of the groups in hot (k, group): every pair of a group is compared exactly, in blocks of two parts."""
+    n = hot.groupBy("group").agg(F.ceil(F.count("*") / part).alias("parts"))
+    rows = hot.join(n, "group").join(sets, "k").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")))
+    rows = rows.select("group", "part", "id", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("group", "part", "id", "s", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    return rows.groupBy("group", "lo", "hi").applyInArrow(lambda t: _block(t, threshold), "a string, b string")
 
 
 def near_duplicates(
@@ -175,8 +198,9 @@ def near_duplicates(
     """(id, class_id, links): one row per record with the least id of its class and its number of verified links.
 
     Records of equal shingle sets are collapsed to one representative first, so a group of copies however large costs
-    one row; `links` counts the linked representatives plus the record's copies. A bucket that max_depth splits leave
-    large (near copies of one text) is worked off by pivots: each round links all sets near the pivot and drops them.
+    one row; `links` counts the linked representatives plus the record's copies. Buckets that max_depth splits leave
+    large (near copies of one text, texts of one template) are merged where they share sets, and all pairs of such a
+    group are compared exactly. A warning tells when max_runs ends the runs before the recall is reached.
     Null or wordless texts are classes of their own with no links. Null ids are dropped; repeated ids count once. An
     empty table gives an empty result. Other columns of df are not read.
     """
@@ -190,6 +214,8 @@ def near_duplicates(
     member = sk.groupBy("whole", "n").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
     reps = materialize(sk.join(member.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", F.xxhash64("id").alias("k"), "sig"), "nd-reps")
     found: DataFrame | None = None
+    stars: DataFrame | None = None
+    hot: DataFrame | None = None
     done = 0
     while done < max_runs:
         batch = list(range(done, min(done + runs, max_runs)))
@@ -205,31 +231,35 @@ def near_duplicates(
                 large = None
                 break
             frontier = large.join(reps.select("k", "sig"), "k").select("k", "node", "run", "sig").mapInArrow(lambda it: _descend(it, split), "k long, node long, run int")
-        links = []
-        while large is not None and large.limit(1).count():
-            new, rest = _star(large, reps, least)
-            links.append(new)
-            sized = materialize(rest.join(rest.groupBy("node", "run").count().where("count > 1"), ["node", "run"]), "nd-rest")
-            parts.append(sized.where(F.col("count") <= small).select("k", "node", "run"))
-            large = sized.where(F.col("count") > small).select("k", "node", "run")
+        if large is not None and large.limit(1).count():
+            # each bucket as links to its least set; buckets that share a set make one group
+            least_set = large.groupBy("node", "run").agg(F.min("k").alias("p"))
+            new = large.join(least_set, ["node", "run"]).select(F.col("p").alias("a"), F.col("k").alias("b")).where("a <> b").distinct()
+            stars = materialize(new if stars is None else stars.union(new).distinct(), "nd-stars")
+            hot = connected_components(stars).select(F.col("node").alias("k"), F.col("component").alias("group"))
         buckets = parts[0]
         for p in parts[1:]:
             buckets = buckets.union(p)
         pairs = buckets.join(reps.select("k", "sig"), "k").select("node", "run", "k", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: _brute(it, least), "a long, b long, run int")
-        for x in links:
-            pairs = pairs.union(x)
         found = pairs if found is None else found.union(pairs)
+        if hot is not None:  # pairs within a group are compared without sampling, so they don't count for the capture rate
+            ga, gb = hot.select(F.col("k").alias("a"), F.col("group").alias("ga")), hot.select(F.col("k").alias("b"), F.col("group").alias("gb"))
+            found = found.join(ga, "a", "left").join(gb, "b", "left").where("not coalesce(ga = gb, false)").select("a", "b", "run")
         found = materialize(found.distinct(), "nd-found")
         n, hits = found.groupBy("a", "b").count().agg(F.count("*"), F.sum("count")).first()
         rate = (hits or 0) / (n * done) if n else 1.0
         if not n or 1 - (1 - rate) ** done >= recall:
             break
+    else:
+        warnings.warn(f"near_duplicates: {done} runs capture an estimated {1 - (1 - rate) ** done:.4f} of the pairs, less than the recall of {recall}", stacklevel=2)
     cand = found.select("a", "b").distinct()
-    who = materialize(cand.select(F.col("a").alias("k")).union(cand.select(F.col("b").alias("k"))).distinct(), "nd-who")
+    who = cand.select(F.col("a").alias("k")).union(cand.select(F.col("b").alias("k")))
+    who = materialize((who if hot is None else who.union(hot.select("k"))).distinct(), "nd-who")
     ids = reps.join(who, "k", "left_semi").select("k", "id")
     sets = materialize(src.join(ids, "id").dropDuplicates(["id"]).select("k", "id", "t").mapInArrow(lambda it: _sets(it, shingle), "k long, id string, s binary"), "nd-sets")
     left, right = (sets.select(F.col("k").alias(c), F.col("id").alias(f"{c}id"), F.col("s").alias(f"{c}s")) for c in "ab")
-    edges = materialize(cand.join(left, "a").join(right, "b").select("aid", "bid", "as", "bs").mapInArrow(lambda it: _exact(it, threshold), "a string, b string"), "nd-edges")
+    edges = cand.join(left, "a").join(right, "b").select("aid", "bid", "as", "bs").mapInArrow(lambda it: _exact(it, threshold), "a string, b string")
+    edges = materialize(edges if hot is None else edges.union(_all_pairs(hot, sets, threshold)), "nd-edges")
     comp = connected_components(edges).withColumnRenamed("node", "rep")
     degree = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").count().withColumnRenamed("a", "rep")
     classes = member.join(comp, "rep", "left").join(degree, "rep", "left").select("whole", "n", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("count", F.lit(0))).alias("links"))

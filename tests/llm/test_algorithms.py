@@ -58,6 +58,16 @@ def test_hot_group_of_near_copies_is_one_class(spark):
     assert n["count"] == 300 and c.count() == len(rows)
 
 
+def test_large_bucket_of_one_template_keeps_every_link(spark):
+    rng = random.Random(11)
+    base = words(rng, 102)  # 100 runs of three words in common; the long ones are 0.45 alike, the short ones 0.54 like all
+    rows = [(f"l{i:02}", f"{base} {words(rng, 60)}") for i in range(40)] + [(f"s{i:02}", f"{base} {words(rng, 25)}") for i in range(8)]
+    c = neardup.near_duplicates(spark.createDataFrame(rows, "id string, t string"), "id", "t", shingle=3, threshold=0.5, small=4, max_depth=2).collect()
+    assert len({r["class_id"] for r in c}) == 1
+    text = dict(rows)
+    assert {r["id"]: r["links"] for r in c} == {a: sum(jaccard(t, u, 3) >= 0.5 for b, u in rows if a != b) for a, t in text.items()}
+
+
 def brute_ppm(model, samples, data):
     """Code lengths straight from counts, for one language."""
     cost = []
