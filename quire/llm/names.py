@@ -216,7 +216,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
 
 
-def author_clusters(names: DataFrame, col: str, rounds: int = 6, least: int = 3, max_words: int = 20_000) -> DataFrame:
+def author_clusters(names: DataFrame, col: str, least: int = 3, max_words: int = 20_000) -> DataFrame:
     """(name, entity): every distinct spelling with the least spelling of its entity.
 
     Spellings of one profile are collapsed before blocking, so repeated or merely re-cased names cost one profile. Which
@@ -236,7 +236,7 @@ def author_clusters(names: DataFrame, col: str, rounds: int = 6, least: int = 3,
     shape = ["org", "main", "kind", "g", "s2"]
     prof = materialize(spelled.groupBy(*shape).agg(F.min("name").alias("pid")), "au-shapes")
     cluster = prof.select("pid", F.col("pid").alias("cid"))
-    for _ in range(rounds):
+    while True:  # ends, as every round with an edge lowers the number of clusters
         # what is known of each cluster goes back to all its profiles: full given names and second family names
         mine = prof.join(cluster, "pid")
         rich = mine.where(~F.col("org")).groupBy("cid").agg(

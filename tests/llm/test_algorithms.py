@@ -68,6 +68,13 @@ def test_large_bucket_of_one_template_keeps_every_link(spark):
     assert {r["id"]: r["links"] for r in c} == {a: sum(jaccard(t, u, 3) >= 0.5 for b, u in rows if a != b) for a, t in text.items()}
 
 
+def test_names_merge_until_no_round_merges(spark):
+    # each spelling fits only the one before, so every round links one more
+    rows = [("Maria Kolumbanto",)] + [("M. " + ("z" * i + "kolumbanto"[i:]).title(),) for i in range(1, 9)]
+    got = names.author_clusters(spark.createDataFrame(rows, "a string"), "a").collect()
+    assert len(got) == 9 and len({r["entity"] for r in got}) == 1
+
+
 def brute_ppm(model, samples, data):
     """Code lengths straight from counts, for one language."""
     cost = []
