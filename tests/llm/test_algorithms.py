@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -75,6 +76,21 @@ def test_names_merge_until_no_round_merges(spark):
     assert len(got) == 9 and len({r["entity"] for r in got}) == 1
 
 
+def test_subjects_tell_words_apart_that_share_15_bits(spark):
+    met, pairs = {}, []
+    for w in map("".join, itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rstvz")):
+        v = zlib.crc32(w.encode())
+        x = met.setdefault(v & 0x7FFF, (w, v & 0xFFFF))
+        if x[1] != v & 0xFFFF:
+            pairs.append((x[0], w))
+    law, sea = (" ".join(p[j] for p in pairs[:6]) for j in (0, 1))
+    assert len(pairs) >= 6
+    sample = [("en", s, f"{t} {t} {t}") for s, t in (("law", law), ("sea", sea)) for _ in range(4)]
+    df = spark.createDataFrame([("a", law), ("b", sea)], "id string, t string")
+    m = subjects.fit(df, "t", spark.createDataFrame(sample, "language string, topic string, text string"))
+    assert {(r["id"], r["subject"]) for r in subjects.subjects(df, m, "id", "t").collect()} == {("a", "law"), ("b", "sea")}
+
+
 def brute_ppm(model, samples, data):
     """Code lengths straight from counts, for one language."""
     cost = []
