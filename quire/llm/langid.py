@@ -35,7 +35,7 @@ NOTATIONS = {
 }
 _CODE = {n: c for c, names in NOTATIONS.items() for n in names.split()}
 _LETTER, _LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"(?:[^\W\d_][\W\d_]*){30}")
-_MARKUP = re.compile(r"^\s*(?:```|~~~|\||\$|\\begin|<t[rdh]|#|\*\*|©|ISBN|\[?\^?\d+\]?:)")
+_MARKUP = re.compile(r"^\s*(?:```|~~~|\||\$|\\begin|<t[rdh]|#|\*\*|©|ISBN)")
 _FOLD = bytes.maketrans(b"\t\n\r\x0b\x0c123456789", b"     000000000")
 
 
@@ -211,7 +211,7 @@ def score_texts(model: Ppm, texts: list[str]) -> np.ndarray:
 
 
 def running_text(paragraph: str) -> bool:
-    """Whether a paragraph holds words enough to tell a language, and is no code, formula, table row or reference."""
+    """Whether a paragraph holds words enough to tell a language, and is no code, formula or table row."""
     return not _MARKUP.match(paragraph) and "```" not in paragraph and len(paragraph.split(None, 6)) > 5 and _LETTERS.search(paragraph) is not None
 
 

@@ -147,6 +147,15 @@ def test_languages_of_held_out_samples(spark):
     assert {(r["para_no"], r["language"]) for r in out if r["id"] == "mix"} == {(0, "es"), (1, "es"), (2, "es"), (3, "de")}
 
 
+@needs
+def test_footnote_in_another_language_is_a_paragraph(spark):
+    seed = [tuple(r) for r in spark.read.parquet(f"{D}/topic_seed.parquet").orderBy("seed_id").select("language", "text").collect()]
+    es, de = next(t for x, t in seed if x == "es"), next(t for x, t in seed if x == "de")
+    df = spark.createDataFrame([("note", f"{es}\n\n{es}\n\n[^3]: {de}\n\n[^4]: {es}")], "id string, t string")
+    out = langid.languages(df, langid.fit_ppm(seed), "id", "t").where("para_no > 2").collect()
+    assert {(r["para_no"], r["language"]) for r in out} == {(3, "de"), (4, "es")}
+
+
 @needs
 def test_mojibake_round_trip(spark):
     seed = spark.read.parquet(f"{D}/topic_seed.parquet")
