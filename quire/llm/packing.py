@@ -1,18 +1,21 @@
 """Filling of fixed-capacity containers with texts by lexical retrieval.
 
-The texts are spread by a hash over shards of about `shard` items; each shard holds an inverted index with BM25 weights
-(statistics of the shard). The largest unused item seeds a container, the index ranks its unused neighbours, and they
-fill the window while they fit; its last gap goes to the item that fits it best. Containers left too empty are opened and
-packed again in fewer shards. A text longer than the capacity is cut into full containers and a rest that is packed.
+The texts' words make an inverted index with BM25 weights, whose document frequencies and mean length are those of all
+texts. The index is sharded by content: each text is led by the rarer words that it has in common with others, the texts
+are ordered by them, and about `shard` neighbours in that order make a shard, so texts that share rare words lie
+together however far apart they came in, and a word of a third of all texts parts by the next one. In a shard the
+largest unused item seeds a container; the index scores all unused items for it, and the window takes the most related
+item after which the room can still be closed. Containers left too empty are opened and packed again. A text longer than
+the capacity is cut into full containers and a rest that is packed.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,32 +23,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.session import arrow_rows, materialize, ship
 
-_WORD = re.compile(r"[^\W\d_]{2,}")
 K1, B = 1.2, 0.75
+#: Document frequencies are counted in so many hashed places, which bounds the table that is broadcast.
+PLACES = 1 << 20
+#: Everything that is no letter becomes a blank: ASCII by a table, the signs of Latin-1 and of book texts by name.
+_BLANK = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_SIGNS = [c.encode() for c in "\xa0¡«·»¿–—‘’“”„…•€№"]
 
 
-def runs(batches: Iterator[pa.RecordBatch], col: int = 0) -> Iterator[pa.Table]:
-    """The consecutive rows of one key as tables; a run cut by a batch's end is carried over."""
-    held: pa.Table | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        k = held.column(col).to_numpy()
-        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
-        start = 0
-        for e in cut:
-            yield held.slice(start, e - start)
-            start = int(e)
-        held = held.slice(start)
-    if held is not None and held.num_rows:
-        yield held
+def words(text: str) -> list[bytes]:
+    """The words of a text in lower case, as UTF-8; signs beyond the usual ones stay with their word."""
+    b = text.lower().encode("utf-8", "replace").translate(_BLANK)
+    if not text.isascii():
+        for c in _SIGNS:
+            b = b.replace(c, b" ")
+    return b.split()
 
 
 class _Codes(dict):
-    def __missing__(self, w: str) -> int:
-        v = zlib.crc32(w.encode("utf-8", "replace"))
+    def __missing__(self, w: bytes) -> int:
+        v = zlib.crc32(w)
         if len(self) < 300_000:
             self[w] = v
         return v
@@ -56,47 +53,120 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, counts = [], []
         for t in b.column(1).to_pylist():
-            c = Counter(_WORD.findall((t or "").lower()))
+            c = Counter(words(t)) if t else {}
             ids.append(array("I", map(code.__getitem__, c)).tobytes())
             counts.append(array("H", [n if n < 65535 else 65535 for n in c.values()]).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["id", "terms", "tf"])
 
 
-def bm25(terms: list[bytes], tf: list[bytes]) -> np.ndarray:
-    """(items, items): the BM25 score of each item for each seed's words, through postings of the shared terms."""
-    n = len(terms)
-    size = np.array([len(t) // 4 for t in terms])
-    t = np.frombuffer(b"".join(terms), np.uint32)
-    f = np.frombuffer(b"".join(tf), np.uint16).astype(np.float32)
-    doc = np.repeat(np.arange(n), size)
-    length = np.zeros(n, np.float32)
-    np.add.at(length, doc, f)
-    avg = max(1.0, float(length.mean())) if n else 1.0
-    u, inv, df = np.unique(t, return_inverse=True, return_counts=True)
-    shared = (df > 1)[inv]
-    new = np.cumsum(df > 1) - 1
-    doc, col, f, d = doc[shared], new[inv[shared]], f[shared], df[inv[shared]].astype(np.float32)
-    w = np.log1p((n - d + 0.5) / (d + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length[doc] / avg))
-    v = int((df > 1).sum())
-    score = np.zeros((n, n), np.float32)
-    for s in range(0, v, 2048):
-        m = (col >= s) & (col < s + 2048)
-        width = min(2048, v - s)
-        q, x = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
-        q[doc[m], col[m] - s] = 1
-        x[doc[m], col[m] - s] = w[m]
-        score += q @ x.T
-    return score
-
-
-def pack(size: np.ndarray, capacity: int, score: np.ndarray) -> np.ndarray:
-    """The container number of each item; no container exceeds the capacity."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per place the texts that have a word of it; place -1: all texts and their words."""
+    n, texts, length = np.zeros(PLACES, np.int64), 0, 0
+    for b in batches:
+        t = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
+        n += np.bincount(t & np.uint32(PLACES - 1), minlength=PLACES)
+        texts += b.num_rows
+        length += int(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).sum(dtype=np.int64))
+    at = n.nonzero()[0]
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, at]), pa.array(np.r_[texts, length, n[at]])], ["place", "n"])
+
+
+@dataclass
+class Index:
+    """What all texts say about a word: its document frequency by place, and the mean length of a text."""
+
+    texts: int
+    length: float
+    df: np.ndarray
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """BM25 weight of each (term, count, words of its text)."""
+        d = self.df[terms & np.uint32(PLACES - 1)].astype(np.float32)
+        f = tf.astype(np.float32)
+        return np.log1p(np.maximum(self.texts - d + 0.5, 0.5) / (d + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / max(1.0, self.length)))
+
+
+def index_of(base: DataFrame) -> Index:
+    """Count (terms, tf) of all texts; at most PLACES + 2 numbers come to the driver."""
+    got = base.select("terms", "tf").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    n = dict(zip(got["place"].tolist(), got["n"].tolist())) if len(got) < 3 else None
+    df = np.zeros(PLACES, np.int64)
+    at, v = got["place"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    df[at[at >= 0]] = v[at >= 0]
+    texts, length = (int(v[at == k].sum()) if n is None or k in n else 0 for k in (-1, -2))
+    return Index(texts, length / max(1, texts), np.minimum(df, 2**31 - 1).astype(np.int32))
+
+
+def _leads(batches: Iterator[pa.RecordBatch], index: Index, level: int, shard: int, most: int = 3) -> Iterator[pa.RecordBatch]:
+    """Two words that lead each text to its shard: of its `most` weightiest words that few other texts share, the first by a
+    hash, so that texts which share some of them are likely to be led by the same one."""
+    for b in batches:
+        a, c = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            t, f = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint16)
+            d = index.df[t & np.uint32(PLACES - 1)]
+            near = np.flatnonzero((d > 1) & (d <= shard))
+            if not len(near):
+                near = np.flatnonzero(d > 1)
+            if len(near):
+                w = index.weights(t[near], f[near], np.float32(max(1, int(f.sum()))))
+                top = t[near[np.argsort(-w, kind="stable")[:most]]].astype(np.uint64)
+                h = np.sort(((top + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
+                a[i], c[i] = h[0], h[min(1, len(h) - 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a), pa.array(c)], ["id", "lead", "second"])
+
+
+class Postings:
+    """The inverted index of one shard: per word its items and weights; the scores of a seed are summed over its words."""
+
+    def __init__(self, terms: list[bytes], tf: list[bytes], index: Index) -> None:
+        self.n = len(terms)
+        size = np.array([len(t) // 4 for t in terms], np.int64)
+        t = np.frombuffer(b"".join(terms), np.uint32)
+        f = np.frombuffer(b"".join(tf), np.uint16)
+        item = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        length = np.bincount(item, f, minlength=self.n).astype(np.float32)
+        order = np.argsort(t, kind="stable")
+        t, item = t[order], item[order]
+        first = np.r_[True, t[1:] != t[:-1]] if len(t) else np.empty(0, bool)
+        start = np.flatnonzero(first)
+        count = np.diff(np.r_[start, len(t)])
+        word = np.repeat(np.arange(len(start)), count)
+        keep = (count > 1)[word]  # a word of one item relates it to none
+        w = index.weights(t[keep], f[order][keep], length[item[keep]])
+        self.item, self.weight = item[keep], w
+        count = count * (count > 1)
+        self.start, self.count = np.cumsum(count) - count, count
+        by = np.argsort(self.item, kind="stable")
+        self.words = word[keep][by]
+        self.at = np.searchsorted(self.item[by], np.arange(self.n + 1))
+        self.known: dict[int, np.ndarray] = {}
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of every item of the shard for a seed's words."""
+        if seed not in self.known:
+            u = self.words[self.at[seed] : self.at[seed + 1]]
+            c = self.count[u]
+            end = np.cumsum(c)
+            rows = np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[u] - end + c, c)
+            self.known[seed] = np.bincount(self.item[rows], self.weight[rows], self.n)
+        return self.known[seed]
+
+
+def pack(size: np.ndarray, capacity: int, scores: Callable[[int], np.ndarray], slack: float = 0.005) -> np.ndarray:
+    """The container number of each item; no container exceeds the capacity.
+
+    `scores(i)` rates all items for item i. Every placement asks it: of the items that fit, the most related one is taken
+    after which another item closes the room up to `slack` of the capacity, or any item still fits; if there is none, the
+    one that leaves the least.
+    """
     n = len(size)
     order = np.argsort(-size, kind="stable")
-    sz, score = size[order], score[np.ix_(order, order)]
+    sz = size[order]
     falling = -sz
     box = np.full(n, -1)
     free = np.ones(n, bool)
+    gap_ok = slack * capacity
     number = 0
     for seed in range(n):
         if not free[seed]:
@@ -104,7 +174,7 @@ def pack(size: np.ndarray, capacity: int, score: np.ndarray) -> np.ndarray:
         free[seed] = False
         box[seed] = number
         room = capacity - int(sz[seed])
-        s = score[seed]
+        s = None
         while room > 0:
             # items are in falling size, so those that fit are the free ones from here on
             start = int(falling.searchsorted(-room))
@@ -112,15 +182,16 @@ def pack(size: np.ndarray, capacity: int, score: np.ndarray) -> np.ndarray:
             if not len(fit):
                 break
             fit += start
-            most = int(sz[fit[0]])
-            if room > capacity // 4 and room > 2 * most:
-                k = fit[s[fit].argmax()]
-            elif most < 0.9 * room:
-                # the gap is nearly closed: of the largest that fit, the most related
-                pair = fit[: int(falling[fit].searchsorted(-0.97 * most, "right"))]
-                k = pair[s[pair].argmax()]
-            else:
-                k = fit[0]
+            if s is None:
+                s = scores(int(order[seed]))[order]
+            f = falling[fit]
+            left = room + f
+            close = f.searchsorted(-left)  # the largest item that goes into what each would leave
+            gap = left + np.append(f, 0)[close]
+            ok = ((gap <= gap_ok) | (close == 0)).nonzero()[0]
+            if not len(ok):
+                ok = (gap == gap.min()).nonzero()[0]
+            k = fit[ok[s[fit[ok]].argmax()]]
             free[k] = False
             box[k] = number
             room -= int(sz[k])
@@ -130,23 +201,40 @@ def pack(size: np.ndarray, capacity: int, score: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack_shards(batches: Iterator[pa.RecordBatch], specs: list[tuple[int, int]], level: int, loose: float) -> Iterator[pa.RecordBatch]:
-    for t in runs(batches):
-        shard = t.column("shard")[0].as_py()
-        specs_here = t.column("items").to_pylist()
-        score = bm25(t.column("terms").to_pylist(), t.column("tf").to_pylist())
+def _blocks(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.Table]:
+    """Consecutive rows in tables of `shard`; the last of a partition takes up to half a shard more."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        while held.num_rows >= shard + shard // 2:
+            yield held.slice(0, shard)
+            held = held.slice(shard)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _pack_shards(batches: Iterator[pa.RecordBatch], specs: list[tuple[int, int]], level: int, loose: float, index: Index, shard: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    for no, t in enumerate(_blocks(batches, shard)):
+        lists = t.column("items").to_pylist()
+        post = Postings(t.column("terms").to_pylist(), t.column("tf").to_pylist(), index)
         ids = t.column("id").to_pylist()
         rows = []
         for spec, cap in specs:
-            own = [(i, x) for i, xs in enumerate(specs_here) for x in xs if x["spec"] == spec]
+            own = [(i, x) for i, xs in enumerate(lists) for x in xs if x["spec"] == spec]
             if not own:
                 continue
             at = np.array([i for i, _ in own])
             size = np.array([x["size"] for _, x in own])
-            box = pack(size, cap, score[np.ix_(at, at)])
+            box = pack(size, cap, lambda i, at=at: post.scores(int(at[i]))[at])
             fill = np.bincount(box, size)
             for (i, x), b in zip(own, box):
-                rows.append((spec, cap, f"{spec}-{level}-{shard}-{b}", ids[i], x["part"], x["start"], x["size"], bool(fill[b] < loose * cap)))
+                rows.append((spec, cap, f"{spec}-{level}-{part}-{no}-{b}", ids[i], x["part"], x["start"], x["size"], bool(fill[b] < loose * cap)))
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["spec", "cap", "container", "id", "part", "start", "size", "loose"])
 
@@ -156,7 +244,8 @@ def pack_texts(df: DataFrame, sizes: DataFrame, specs: list[tuple[int, int]], id
 
     `sizes` holds (id, tokens). Only texts longer than the capacity are split; their rows have part 0, 1, ... and the
     token at which each part starts. Texts of no tokens fit anywhere and get a row of 0 tokens. Null ids are dropped,
-    repeated ids packed once; sizes of capacity <= 0 or null are left out. An empty table gives an empty result.
+    repeated ids packed once; sizes of capacity <= 0 or null are left out. An empty table gives an empty result. The
+    index of the words' frequencies has PLACES hashed places at any size; words of one place share their frequency.
     """
     spark = df.sparkSession
     ship(spark)
@@ -165,7 +254,9 @@ def pack_texts(df: DataFrame, sizes: DataFrame, specs: list[tuple[int, int]], id
     n = sizes.groupBy("id").agg(F.max("tokens").alias("tokens")).select(F.col("id").cast("string").alias("id"), "tokens").where("id is not null")
     vec = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null").mapInArrow(_terms, "id string, terms binary, tf binary").dropDuplicates(["id"])
     base = materialize(vec.join(n, "id"), "pk-items")
-    total = base.count()
+    index = index_of(base)
+    copy = spark.sparkContext.broadcast(index)
+    total = index.texts
     parts, cols = None, ["spec", "cap", "container", "id", "part", "start", "size"]
     for spec, cap in specs:
         full = base.where(F.col("tokens") >= cap).select("id", "tokens", F.explode(F.sequence(F.lit(0), (F.col("tokens") / cap).cast("int") - 1)).alias("part"))
@@ -177,10 +268,11 @@ def pack_texts(df: DataFrame, sizes: DataFrame, specs: list[tuple[int, int]], id
     items = base.select("id", "terms", "tf", F.filter(rest, lambda x: ~(x["cut"] & (x["size"] == 0))).alias("items"))
     done = parts.select(*cols)
     for level in range(levels):
-        shards = max(1, round(total / shard))
-        last = shards == 1 or level == levels - 1
-        sharded = items.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(shards)).cast("int")).select("shard", "id", "terms", "tf", F.transform("items", lambda x: F.struct(x["spec"].alias("spec"), x["part"].alias("part"), x["start"].alias("start"), x["size"].alias("size"))).alias("items"))
-        out = sharded.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it, lv=level, lo=0.0 if last else loose: _pack_shards(it, specs, lv, lo), "spec int, cap int, container string, id string, part int, start long, size long, loose boolean")
+        last = total <= shard or level == levels - 1
+        leads = items.select("id", "terms", "tf").mapInArrow(lambda it, lv=level: _leads(it, copy.value, lv, shard), "id string, lead long, second long")
+        keyed = materialize(items.join(leads, "id").select("lead", "second", "id", "terms", "tf", F.transform("items", lambda x: F.struct(x["spec"].alias("spec"), x["part"].alias("part"), x["start"].alias("start"), x["size"].alias("size"))).alias("items")), "pk-keyed")
+        order = ["lead", "second", "id"]
+        out = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it, lv=level, lo=0.0 if last else loose: _pack_shards(it, specs, lv, lo, copy.value, shard), "spec int, cap int, container string, id string, part int, start long, size long, loose boolean")
         out = materialize(out, "pk-packed")
         done = done.union(out.where("not loose").select(*cols))
         if last:

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.session import arrow_rows, materialize, ship
 
@@ -24,80 +24,130 @@ _S = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F
 PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
-@lru_cache(maxsize=4)
-def ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+class Vocabulary:
+    """A merge-ranked byte-level vocabulary, and what has been learned about which token may follow which.
 
+    Two tokens may stand side by side if no merge across their border comes before the merges that made them. The merges
+    are undone from the last to the first, by the pair that each token was merged from, so no bytes are merged anew.
+    """
 
-class Encoder:
-    """Counts of tokens of pieces, with the states of the current prefix."""
-
-    def __init__(self, path: str) -> None:
-        self.rank = ranks(path)
-        self.longest = max(map(len, self.rank))
+    def __init__(self, rank: dict[bytes, int]) -> None:
+        self.rank = rank
+        self.bytes_of = {r: b for b, r in rank.items()}
+        # the lengths of the entries that end in the same two bytes, longest first
+        ends: dict[bytes, set[int]] = {}
+        for b in rank:
+            ends.setdefault(b[-2:], set()).add(len(b))
+        self.lengths = {e: tuple(sorted(n | {1}, reverse=True)) for e, n in ends.items()}
+        self.made: dict[int, tuple[int, int] | None] = {}
         self.pair: dict[tuple[int, int], bool] = {}
-        self.bytes_of = {r: b for b, r in self.rank.items()}
-        self.prefix = b""
-        self.state: list[tuple[int, int]] = []
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Plain merging by rank, for the few pairs whose compatibility is asked."""
+    def __getstate__(self) -> dict[bytes, int]:
+        return self.rank
+
+    def __setstate__(self, rank: dict[bytes, int]) -> None:
+        self.__init__(rank)
+
+    def merge(self, piece: bytes) -> list[bytes]:
+        """The parts of a piece when one merge is left, or when no merge is left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.rank:
+        while len(parts) > 2:
+            best, at = 1 << 60, -1
+            for i in range(len(parts) - 1):
+                r = self.rank.get(parts[i] + parts[i + 1])
+                if r is not None and r < best:
+                    best, at = r, i
+            if at < 0:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.rank[p] for p in parts]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def parts(self, t: int) -> tuple[int, int] | None:
+        """The pair a token is merged from; None for a single byte; (-1, -1) if merging its bytes never gives it."""
+        if t not in self.made:
+            b = self.bytes_of[t]
+            two = self.merge(b) if len(b) > 1 else []
+            self.made[t] = None if len(b) == 1 else (self.rank[two[0]], self.rank[two[1]]) if len(two) == 2 else (-1, -1)
+        return self.made[t]
 
     def follows(self, a: int, b: int) -> bool:
         """Whether token b may stand after token a in an encoding."""
         k = (a, b)
-        if k not in self.pair:
-            self.pair[k] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return self.pair[k]
+        got = self.pair.get(k)
+        if got is None:
+            got = self.pair[k] = self._apart(a, b)
+        return got
+
+    def _apart(self, x: int, y: int) -> bool:
+        before = 1 << 60
+        while True:
+            r = self.rank.get(self.bytes_of[x] + self.bytes_of[y])
+            if r is not None and r < before:
+                return False
+            px, py = self.parts(x), self.parts(y)
+            if px is not None and (py is None or x > y):
+                before, x = x, px[1]
+            elif py is not None:
+                # of equal ranks the left one is merged first, so the border would win a tie
+                before, y = y + 1, py[0]
+            else:
+                return True
+
+
+class Walk:
+    """Counts of tokens of pieces; consecutive calls share the states of the common prefix."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v = vocabulary
+        self.prefix = b""
+        self.last: list[int] = []
+        self.total: list[int] = []
 
     def count(self, piece: bytes) -> int:
-        """Tokens of a piece; consecutive calls share the states of the common prefix."""
-        if piece in self.rank and self.merge_whole(piece):
-            return 1
-        n = 0
+        v, n = self.v, 0
+        rank, lengths, follows = v.rank, v.lengths, v.follows
         for x, y in zip(self.prefix, piece):
             if x != y:
                 break
             n += 1
-        state = self.state[:n]
+        last, total = self.last, self.total
+        del last[n:], total[n:]
         for end in range(n + 1, len(piece) + 1):
-            for size in range(min(self.longest, end), 0, -1):
-                t = self.rank.get(piece[end - size : end])
+            for size in lengths.get(piece[end - 2 : end], (1,)) if end > 1 else (1,):
+                if size > end:
+                    continue
+                t = rank.get(piece[end - size : end])
                 if t is None:
                     continue
                 if size == end:
-                    if self.merge_whole(piece[:end]):
-                        state.append((t, 1))
+                    if v.parts(t) != (-1, -1):
+                        last.append(t), total.append(1)
                         break
-                    continue
-                last, total = state[end - size - 1]
-                if self.follows(last, t):
-                    state.append((t, total + 1))
+                elif follows(last[end - size - 1], t):
+                    last.append(t), total.append(total[end - size - 1] + 1)
                     break
-        self.prefix, self.state = piece, state
-        return state[-1][1] if state else 0
+        self.prefix = piece
+        return total[-1] if total else 0
+
+
+_SENT: dict[tuple[str, str], Broadcast] = {}
+
 
-    def merge_whole(self, piece: bytes) -> bool:
-        """Whether a vocabulary entry is reached by merging its own bytes."""
-        k = (self.rank[piece], -1)
-        if k not in self.pair:
-            self.pair[k] = len(self.merge(piece)) == 1
-        return self.pair[k]
+def vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary of a file on the driver, broadcast once per application; executors read no file."""
+    k = (spark.sparkContext.applicationId, path)
+    if k not in _SENT:
+        with open(path, "rb") as f:
+            rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _SENT[k] = spark.sparkContext.broadcast(Vocabulary(rank))
+    return _SENT[k]
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    enc = Encoder(path)
+def _count(batches: Iterator[pa.RecordBatch], copy: Broadcast) -> Iterator[pa.RecordBatch]:
+    walk = Walk(copy.value)  # what the worker has learned stays with its copy
     for b in batches:
         pieces = b.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.count(p.encode("utf-8", "replace")) for p in pieces], pa.int32())], ["piece", "tokens"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([walk.count(p.encode("utf-8", "replace")) for p in pieces], pa.int32())], ["piece", "tokens"])
 
 
 def pieces(df: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -108,7 +158,8 @@ def pieces(df: DataFrame, key: str, text_col: str) -> DataFrame:
 
 def piece_counts(distinct: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(piece, tokens) of distinct pieces, each partition a sorted slice of the prefix trie."""
-    return distinct.repartitionByRange("piece").sortWithinPartitions("piece").mapInArrow(lambda it: _count(it, path), "piece string, tokens int")
+    copy = vocabulary(distinct.sparkSession, path)
+    return distinct.repartitionByRange("piece").sortWithinPartitions("piece").mapInArrow(lambda it: _count(it, copy), "piece string, tokens int")
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY, head: int = 16_384) -> DataFrame:

@@ -229,24 +229,62 @@ def test_token_counts_equal_the_tokenizer(spark):
     assert tokens.token_counts(spark.createDataFrame([], "id int, t string"), "id", "t").count() == 0
 
 
-def test_bm25_matches_formula():
-    docs = [["a", "b", "b", "c"], ["b", "c"], ["d"], []]
-    import zlib
+@pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="needs the vocabulary")
+def test_which_token_may_follow_equals_merging():
+    rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokens.VOCABULARY, "rb"))}
+    v = tokens.Vocabulary(rank)
+
+    def merged(b):
+        parts = [b[i : i + 1] for i in range(len(b))]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: rank.get(parts[i] + parts[i + 1], 1 << 60))
+            if parts[best] + parts[best + 1] not in rank:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts
 
+    rng = random.Random(9)
+    common = sorted(rank, key=rank.get)[:3000]
+    for _ in range(20_000):
+        a, b = rng.choice(common), rng.choice(common)
+        assert v.follows(rank[a], rank[b]) == (merged(a + b) == [a, b])
+
+
+def test_bm25_matches_formula():
     from collections import Counter
 
+    docs = [["a", "b", "b", "c"], ["b", "c"], ["d"], []]
     cs = [Counter(d) for d in docs]
     code = lambda w: zlib.crc32(w.encode())
-    got = packing.bm25([np.array([code(w) for w in c], np.uint32).tobytes() for c in cs], [np.array(list(c.values()), np.uint16).tobytes() for c in cs])
-    avg = sum(map(len, docs)) / 4
+    df = np.zeros(packing.PLACES, np.int32)
+    for w, n in (("a", 7), ("b", 3), ("c", 40), ("d", 1)):  # of all texts, not of these four
+        df[code(w) & (packing.PLACES - 1)] = n
+    index = packing.Index(100, 2.5, df)
+    post = packing.Postings([np.array([code(w) for w in c], np.uint32).tobytes() for c in cs], [np.array(list(c.values()), np.uint16).tobytes() for c in cs], index)
     for i, q in enumerate(cs):
+        got = post.scores(i)
         for j, c in enumerate(cs):
             want = 0.0
             for w in q:
-                df = sum(w in x for x in cs)
-                if c[w] and df > 1:
-                    want += np.log1p((4 - df + 0.5) / (df + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(docs[j]) / avg))
-            assert abs(got[i, j] - want) < 1e-4
+                d = df[code(w) & (packing.PLACES - 1)]
+                if c[w] and sum(w in x for x in cs) > 1:
+                    want += np.log1p((100 - d + 0.5) / (d + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(docs[j]) / 2.5))
+            assert abs(got[j] - want) < 1e-4
+
+
+def test_scattered_related_texts_are_packed_together(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 40), rng.randrange(20, 90)) for i in range(3000)]
+    kin = rng.sample(range(3000), 24)
+    for i in kin:
+        rows[i] = (i, f"{rows[i][1]} kinword kinword othersign othersign thirdmark", 50)
+    df = spark.createDataFrame(rows, "id int, text string, tokens int")
+    out = packing.pack_texts(df.drop("tokens"), df.select("id", "tokens"), [(1, 400)], "id", "text").collect()
+    at = {int(r["id"]): r["container"] for r in out}
+    together = sum(at[i] == at[j] for i, j in itertools.combinations(kin, 2))
+    assert together > 40 and len({at[i] for i in kin}) <= 8  # by chance hardly one pair
+    fill = sum(r["tokens"] for r in out) / (400 * len(set(at.values())))
+    assert fill > 0.985
 
 
 def test_packing_invariants(spark):
