@@ -4,7 +4,7 @@ The texts' words make an inverted index with BM25 weights, whose document freque
 texts. The index is sharded by content: each text is led by the rarer words that it has in common with others, the texts
 are ordered by them, and about `shard` neighbours in that order make a shard, so texts that share rare words lie
 together however far apart they came in, and a word of a third of all texts parts by the next one. In a shard the
-largest unused item seeds a container; the index scores all unused items for it, and the window takes the most related
+first unused item seeds a container; the index scores all unused items for it, and the window takes the most related
 item after which the room can still be closed. Containers left too empty are opened and packed again. A text longer than
 the capacity is cut into full containers and a rest that is packed.
 """
@@ -60,7 +60,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per place the texts that have a word of it; place -1: all texts and their words."""
+    """Per place the texts that have a word of it; places -1 and -2: all texts and all their words."""
     n, texts, length = np.zeros(PLACES, np.int64), 0, 0
     for b in batches:
         t = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
@@ -89,12 +89,11 @@ class Index:
 def index_of(base: DataFrame) -> Index:
     """Count (terms, tf) of all texts; at most PLACES + 2 numbers come to the driver."""
     got = base.select("terms", "tf").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    n = dict(zip(got["place"].tolist(), got["n"].tolist())) if len(got) < 3 else None
-    df = np.zeros(PLACES, np.int64)
-    at, v = got["place"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-    df[at[at >= 0]] = v[at >= 0]
-    texts, length = (int(v[at == k].sum()) if n is None or k in n else 0 for k in (-1, -2))
-    return Index(texts, length / max(1, texts), np.minimum(df, 2**31 - 1).astype(np.int32))
+    at, n = got["place"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    df = np.zeros(PLACES, np.int32)
+    df[at[at >= 0]] = np.minimum(n[at >= 0], 2**31 - 1)
+    texts, length = (int(n[at == k].sum()) for k in (-1, -2))
+    return Index(texts, length / max(1, texts), df)
 
 
 def _leads(batches: Iterator[pa.RecordBatch], index: Index, level: int, shard: int, most: int = 3) -> Iterator[pa.RecordBatch]:
@@ -113,7 +112,7 @@ def _leads(batches: Iterator[pa.RecordBatch], index: Index, level: int, shard: i
                 top = t[near[np.argsort(-w, kind="stable")[:most]]].astype(np.uint64)
                 h = np.sort(((top + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
                 a[i], c[i] = h[0], h[min(1, len(h) - 1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a), pa.array(c)], ["id", "lead", "second"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a), pa.array(c)], [*b.schema.names, "lead", "second"])
 
 
 class Postings:
@@ -167,8 +166,11 @@ def pack(size: np.ndarray, capacity: int, scores: Callable[[int], np.ndarray], s
     box = np.full(n, -1)
     free = np.ones(n, bool)
     gap_ok = slack * capacity
+    place = np.empty(n, int)
+    place[order] = np.arange(n)
     number = 0
-    for seed in range(n):
+    for first in range(n):
+        seed = int(place[first])
         if not free[seed]:
             continue
         free[seed] = False
@@ -183,7 +185,7 @@ def pack(size: np.ndarray, capacity: int, scores: Callable[[int], np.ndarray], s
                 break
             fit += start
             if s is None:
-                s = scores(int(order[seed]))[order]
+                s = scores(first)[order]
             f = falling[fit]
             left = room + f
             close = f.searchsorted(-left)  # the largest item that goes into what each would leave
@@ -269,8 +271,8 @@ def pack_texts(df: DataFrame, sizes: DataFrame, specs: list[tuple[int, int]], id
     done = parts.select(*cols)
     for level in range(levels):
         last = total <= shard or level == levels - 1
-        leads = items.select("id", "terms", "tf").mapInArrow(lambda it, lv=level: _leads(it, copy.value, lv, shard), "id string, lead long, second long")
-        keyed = materialize(items.join(leads, "id").select("lead", "second", "id", "terms", "tf", F.transform("items", lambda x: F.struct(x["spec"].alias("spec"), x["part"].alias("part"), x["start"].alias("start"), x["size"].alias("size"))).alias("items")), "pk-keyed")
+        plain = items.select("id", "terms", "tf", F.transform("items", lambda x: F.struct(x["spec"].alias("spec"), x["part"].alias("part"), x["start"].alias("start"), x["size"].alias("size"))).alias("items"))
+        keyed = materialize(plain.mapInArrow(lambda it, lv=level: _leads(it, copy.value, lv, shard), "id string, terms binary, tf binary, items array<struct<spec:int,part:int,start:long,size:long>>, lead long, second long"), "pk-keyed")
         order = ["lead", "second", "id"]
         out = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it, lv=level, lo=0.0 if last else loose: _pack_shards(it, specs, lv, lo, copy.value, shard), "spec int, cap int, container string, id string, part int, start long, size long, loose boolean")
         out = materialize(out, "pk-packed")
