@@ -46,10 +46,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder all executors share: the cluster's spark.checkpoint.dir; a local one only where it is unset and the
+    master is local, since executors on other machines would not see each other's files there."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         sc.setCheckpointDir(d)
     return d.rstrip("/")
@@ -63,6 +66,14 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_rows(df: DataFrame, most: int) -> list:
+    """The rows of a table that is small by its nature; more than `most` of them are an error, never cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of at most {most} rows is expected, this one has more")
+    return rows
+
+
 def arrow_rows(spark: SparkSession, n: int) -> None:
     """Bound the rows of one Arrow batch, so that long texts do not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
