@@ -12,10 +12,10 @@ the capacity is cut into full containers and a rest that is packed.
 from __future__ import annotations
 
 import zlib
-from array import array
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +48,20 @@ class _Codes(dict):
         return v
 
 
+def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Binary values over one buffer; value i holds the elements from starts[i] to starts[i + 1]."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = _Codes()
     for b in batches:
-        ids, counts = [], []
-        for t in b.column(1).to_pylist():
-            c = Counter(words(t)) if t else {}
-            ids.append(array("I", map(code.__getitem__, c)).tobytes())
-            counts.append(array("H", [n if n < 65535 else 65535 for n in c.values()]).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["id", "terms", "tf"])
+        each = [words(t) if t else [] for t in b.column(1).to_pylist()]
+        size = np.array([len(w) for w in each], np.int64)
+        codes = np.fromiter(map(code.__getitem__, chain.from_iterable(each)), np.uint64, int(size.sum()))
+        u, n = np.unique((np.repeat(np.arange(len(each), dtype=np.uint64), size) << np.uint64(32)) | codes, return_counts=True)
+        starts = np.searchsorted(u, np.arange(len(each) + 1, dtype=np.uint64) << np.uint64(32))
+        yield pa.RecordBatch.from_arrays([b.column(0), _binary(u.astype(np.uint32), starts), _binary(np.minimum(n, 65535).astype(np.uint16), starts)], ["id", "terms", "tf"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,19 +105,26 @@ def _leads(batches: Iterator[pa.RecordBatch], index: Index, level: int, shard: i
     """Two words that lead each text to its shard: of its `most` weightiest words that few other texts share, the first by a
     hash, so that texts which share some of them are likely to be led by the same one."""
     for b in batches:
-        a, c = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-        for i, (x, y) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-            t, f = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint16)
-            d = index.df[t & np.uint32(PLACES - 1)]
-            near = np.flatnonzero((d > 1) & (d <= shard))
-            if not len(near):
-                near = np.flatnonzero(d > 1)
-            if len(near):
-                w = index.weights(t[near], f[near], np.float32(max(1, int(f.sum()))))
-                top = t[near[np.argsort(-w, kind="stable")[:most]]].astype(np.uint64)
-                h = np.sort(((top + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
-                a[i], c[i] = h[0], h[min(1, len(h) - 1)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a), pa.array(c)], [*b.schema.names, "lead", "second"])
+        n = b.num_rows
+        x, y = b.column(1).to_pylist(), b.column(2).to_pylist()
+        doc = np.repeat(np.arange(n), [len(t) // 4 for t in x])
+        t, f = np.frombuffer(b"".join(x), np.uint32), np.frombuffer(b"".join(y), np.uint16)
+        length = np.maximum(1, np.bincount(doc, f, n)).astype(np.float32)
+        d = index.df[t & np.uint32(PLACES - 1)]
+        few = (d > 1) & (d <= shard)
+        lone = np.bincount(doc, few, n) == 0  # these are led by words that more texts share
+        at = np.flatnonzero(few | (lone[doc] & (d > 1)))
+        w = index.weights(t[at], f[at], length[doc[at]])
+        at = at[np.lexsort((-w, doc[at]))]
+        first = np.searchsorted(doc[at], np.arange(n + 1))
+        at = at[np.arange(len(at)) - first[doc[at]] < most]
+        h = (((t[at].astype(np.uint64) + np.uint64(level)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
+        o = np.lexsort((h, doc[at]))
+        first = np.searchsorted(doc[at], np.arange(n + 1))
+        h, some = np.append(h[o], 0), first[1:] > first[:-1]
+        lead = np.where(some, h[first[:-1]], 0)
+        second = np.where(some, h[np.minimum(first[:-1] + 1, np.maximum(first[1:] - 1, 0))], 0)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lead), pa.array(second)], [*b.schema.names, "lead", "second"])
 
 
 class Postings:
@@ -159,48 +171,41 @@ def pack(size: np.ndarray, capacity: int, scores: Callable[[int], np.ndarray], s
     after which another item closes the room up to `slack` of the capacity, or any item still fits; if there is none, the
     one that leaves the least.
     """
-    n = len(size)
-    order = np.argsort(-size, kind="stable")
-    sz = size[order]
-    falling = -sz
-    box = np.full(n, -1)
-    free = np.ones(n, bool)
-    gap_ok = slack * capacity
-    place = np.empty(n, int)
-    place[order] = np.arange(n)
+    sz = size.tolist()
+    rest = sorted(sz)
+    free, alive = [True] * len(sz), np.ones(len(sz), bool)
+    box = [-1] * len(sz)
     number = 0
-    for first in range(n):
-        seed = int(place[first])
+
+    def take(k: int) -> int:
+        free[k] = alive[k] = False
+        box[k] = number
+        rest.pop(bisect_left(rest, sz[k]))
+        return sz[k]
+
+    # an item of more than half the capacity has a container to itself in any case; the others seed in the order given
+    for seed in [*sorted((i for i, z in enumerate(sz) if 2 * z > capacity), key=lambda i: (-sz[i], i)), *range(len(sz))]:
         if not free[seed]:
             continue
-        free[seed] = False
-        box[seed] = number
-        room = capacity - int(sz[seed])
-        s = None
-        while room > 0:
-            # items are in falling size, so those that fit are the free ones from here on
-            start = int(falling.searchsorted(-room))
-            fit = free[start:].nonzero()[0]
-            if not len(fit):
-                break
-            fit += start
-            if s is None:
-                s = scores(first)[order]
-            f = falling[fit]
-            left = room + f
-            close = f.searchsorted(-left)  # the largest item that goes into what each would leave
-            gap = left + np.append(f, 0)[close]
-            ok = ((gap <= gap_ok) | (close == 0)).nonzero()[0]
-            if not len(ok):
-                ok = (gap == gap.min()).nonzero()[0]
-            k = fit[ok[s[fit[ok]].argmax()]]
-            free[k] = False
-            box[k] = number
-            room -= int(sz[k])
+        room = capacity - take(seed)
+        ranked: list[int] = []
+        while room > 0 and rest and rest[0] <= room:
+            if not ranked:
+                s, left = scores(seed), alive.nonzero()[0]
+                ranked = left[np.argsort(-s[left], kind="stable")].tolist()
+            best, least = -1, capacity + 1
+            for k in ranked:
+                if not free[k] or (left := room - sz[k]) < 0:
+                    continue
+                # what would be open after the largest item that still goes in
+                gap = 0 if left >= rest[-1] else left - (rest[i - 1] if (i := bisect_right(rest, left)) else 0)
+                if gap < least:
+                    best, least = k, gap
+                    if gap <= slack * capacity:
+                        break
+            room -= take(best)
         number += 1
-    out = np.empty(n, int)
-    out[order] = box
-    return out
+    return np.array(box, int)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.Table]:
