@@ -164,7 +164,7 @@ class Postings:
         return self.known[seed]
 
 
-def pack(size: np.ndarray, capacity: int, scores: Callable[[int], np.ndarray], slack: float = 0.005) -> np.ndarray:
+def pack(size: np.ndarray, capacity: int, scores: Callable[[int], np.ndarray], seeds: list[int] | None = None, slack: float = 0.005) -> np.ndarray:
     """The container number of each item; no container exceeds the capacity.
 
     `scores(i)` rates all items for item i. Every placement asks it: of the items that fit, the most related one is taken
@@ -183,8 +183,8 @@ def pack(size: np.ndarray, capacity: int, scores: Callable[[int], np.ndarray], s
         rest.pop(bisect_left(rest, sz[k]))
         return sz[k]
 
-    # an item of more than half the capacity has a container to itself in any case; the others seed in the order given
-    for seed in [*sorted((i for i, z in enumerate(sz) if 2 * z > capacity), key=lambda i: (-sz[i], i)), *range(len(sz))]:
+    # an item of more than half the capacity has a container to itself in any case; the others seed in the order of `seeds`
+    for seed in [*sorted((i for i, z in enumerate(sz) if 2 * z > capacity), key=lambda i: (-sz[i], i)), *(seeds if seeds is not None else range(len(sz)))]:
         if not free[seed]:
             continue
         room = capacity - take(seed)
@@ -231,6 +231,9 @@ def _pack_shards(batches: Iterator[pa.RecordBatch], specs: list[tuple[int, int]]
         lists = t.column("items").to_pylist()
         post = Postings(t.column("terms").to_pylist(), t.column("tf").to_pylist(), index)
         ids = t.column("id").to_pylist()
+        # the texts that most others share their lead with open containers first, before other seeds take their kin
+        _, kin, count = np.unique(t.column("lead").to_numpy(), return_inverse=True, return_counts=True)
+        first = np.argsort(np.argsort(-count[kin], kind="stable"), kind="stable")
         rows = []
         for spec, cap in specs:
             own = [(i, x) for i, xs in enumerate(lists) for x in xs if x["spec"] == spec]
@@ -238,7 +241,7 @@ def _pack_shards(batches: Iterator[pa.RecordBatch], specs: list[tuple[int, int]]
                 continue
             at = np.array([i for i, _ in own])
             size = np.array([x["size"] for _, x in own])
-            box = pack(size, cap, lambda i, at=at: post.scores(int(at[i]))[at])
+            box = pack(size, cap, lambda i, at=at: post.scores(int(at[i]))[at], np.argsort(first[at], kind="stable").tolist())
             fill = np.bincount(box, size)
             for (i, x), b in zip(own, box):
                 rows.append((spec, cap, f"{spec}-{level}-{part}-{no}-{b}", ids[i], x["part"], x["start"], x["size"], bool(fill[b] < loose * cap)))
