@@ -21,23 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quire.llm.words import words
 from quire.session import arrow_rows, materialize, ship
 
 K1, B = 1.2, 0.75
 #: Document frequencies are counted in so many hashed places, which bounds the table that is broadcast.
 PLACES = 1 << 20
-#: Everything that is no letter becomes a blank: ASCII by a table, the signs of Latin-1 and of book texts by name.
-_BLANK = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_SIGNS = [c.encode() for c in "\xa0¡«·»¿–—‘’“”„…•€№"]
-
-
-def words(text: str) -> list[bytes]:
-    """The words of a text in lower case, as UTF-8; signs beyond the usual ones stay with their word."""
-    b = text.lower().encode("utf-8", "replace").translate(_BLANK)
-    if not text.isascii():
-        for c in _SIGNS:
-            b = b.replace(c, b" ")
-    return b.split()
 
 
 class _Codes(dict):

@@ -80,36 +80,42 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return _noise(spark, d, True).select(F.col("id").alias("file_hash"), F.size("noise").alias("noisy_lines"), "text")
 
 
-def _topics(spark: SparkSession, d: str) -> subjects.Topics:
-    return subjects.fit(table(spark, d, "conversions"), "markdown", table(spark, d, "topic_seed"))
+def _topics(spark: SparkSession, d: str) -> tuple[subjects.Topics, subjects.Prior, DataFrame]:
+    """The topic model of the conversions, its prior, and their texts as bags."""
+    c = table(spark, d, "conversions")
+    p = subjects.labelled(table(spark, d, "topic_seed"))
+    cut = subjects.bags(c, p, "file_hash", "markdown")
+    return subjects.fit_bags(spark, cut, p), p, cut
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    s = subjects.subjects(table(spark, d, "conversions"), _topics(spark, d), "file_hash", "markdown")
+    m, _, cut = _topics(spark, d)
+    s = subjects.subjects(cut, m, "file_hash", "markdown", cut=cut)
     return s.select(F.col("id").alias("file_hash"), F.col("subject").alias("topic")).distinct()
 
 
 def p6_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
     """The corpus by subject: documents and their paragraphs devoted to it."""
-    s = subjects.subjects(table(spark, d, "conversions"), _topics(spark, d), "file_hash", "markdown")
+    m, _, cut = _topics(spark, d)
+    s = subjects.subjects(cut, m, "file_hash", "markdown", cut=cut)
     g = s.groupBy(F.col("subject").alias("topic")).agg(F.count("*").alias("documents"), F.sum(F.col("share") * F.col("paragraphs")).alias("paragraphs"))
     total = g.agg(F.sum("paragraphs").alias("total"))
     return g.join(F.broadcast(total)).select("topic", "documents", F.round("paragraphs").cast("long").alias("paragraphs"), F.round(F.col("paragraphs") / F.col("total"), 6).alias("share"))
 
 
-def _counted(spark: SparkSession, d: str, model: subjects.Topics, name: str, key: str, text: str) -> DataFrame:
-    t = table(spark, d, name)
+def _counted(t: DataFrame, model: subjects.Topics, cut: DataFrame, key: str, text: str) -> DataFrame:
     n = tokens.token_counts(t, key, text).select(F.col("id").cast("string").alias("id"), "tokens")
-    s = subjects.slices(t, model, key, text).dropDuplicates(["id"])
+    s = subjects.slices(t, model, key, text, cut=cut).dropDuplicates(["id"])
     return n.join(s, "id", "left")
 
 
 def p7_token_budget(spark: SparkSession, d: str) -> DataFrame:
     """Exact tokens by table, source, language and subject; language and subject come from the texts, not the labels."""
-    m = _topics(spark, d)
-    doc = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source").dropDuplicates(["id"])
-    a = _counted(spark, d, m, "documents", "doc_id", "text").join(doc, "id", "left").select(F.lit("documents").alias("collection"), "source", "language", "subject", "tokens")
-    b = _counted(spark, d, m, "conversions", "file_hash", "markdown").select(F.lit("conversions").alias("collection"), F.lit(None).cast("string").alias("source"), "language", "subject", "tokens")
+    m, p, cut = _topics(spark, d)
+    t, c = table(spark, d, "documents"), table(spark, d, "conversions")
+    doc = t.select(F.col("doc_id").cast("string").alias("id"), "source").dropDuplicates(["id"])
+    a = _counted(t, m, subjects.bags(t, p, "doc_id", "text"), "doc_id", "text").join(doc, "id", "left").select(F.lit("documents").alias("collection"), "source", "language", "subject", "tokens")
+    b = _counted(c, m, cut, "file_hash", "markdown").select(F.lit("conversions").alias("collection"), F.lit(None).cast("string").alias("source"), "language", "subject", "tokens")
     return a.union(b).groupBy("collection", "source", "language", "subject").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))
 
 

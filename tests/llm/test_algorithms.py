@@ -91,6 +91,40 @@ def test_subjects_tell_words_apart_that_share_15_bits(spark):
     assert {(r["id"], r["subject"]) for r in subjects.subjects(df, m, "id", "t").collect()} == {("a", "law"), ("b", "sea")}
 
 
+def test_topics_are_learned_beyond_thin_samples(spark):
+    rng = random.Random(8)
+    seeds = {"law": ["court", "verdict", "judge"], "sea": ["ship", "harbour", "sailor"], "art": ["painter", "canvas", "museum"]}
+    more = {s: ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(25)] for s in seeds}
+    plain = "the and with from this that have which when where there their about other some into only over such also".split()
+    text = lambda own, n: "\n\n".join(" ".join(rng.choice(own) if rng.random() < 0.4 else rng.choice(plain) for _ in range(40)) for _ in range(n))
+    sample = [("en", s, " ".join(rng.choice(w) if rng.random() < 0.3 else rng.choice(plain) for _ in range(30))) for s, w in seeds.items() for _ in range(4)]
+    corpus = [(f"m{s}{i}", text(seeds[s] + more[s], 3)) for s in seeds for i in range(30)]
+    # these texts hold none of the samples' subject words
+    held = [(f"{s}{i}", text(more[s], 3)) for s in seeds for i in range(10)] + [(f"none{i}", text(plain, 3)) for i in range(10)]
+    df, out = spark.createDataFrame(corpus + held, "id string, t string"), spark.createDataFrame(held, "id string, t string")
+    p = subjects.prior(sample)
+    start = subjects.Topics(p.languages, p.subjects, subjects._normal(p.beta), p.base, subjects.name_topics(p.beta, p)[0])
+    before = {(r["id"], r["subject"]) for r in subjects.subjects(out, start, "id", "t").collect()}
+    m = subjects.fit(df, "t", spark.createDataFrame(sample, "language string, topic string, text string"), tolerance=1e-3)
+    got = {(r["id"], r["subject"]) for r in subjects.subjects(out, m, "id", "t").collect()}
+    assert len(m.bounds) > 2 and m.bounds[-1] > m.bounds[0] and m.phi.shape[2] > len(m.subjects)
+    assert sum((f"{s}{i}", s) in before for s in seeds for i in range(10)) <= 6
+    want = {(f"{s}{i}", s) for s in seeds for i in range(10)}
+    assert len(want & got) >= 29 and len(got - want) <= 1
+
+
+def test_topics_are_named_by_their_top_terms():
+    sample = [("en", s, " ".join(w * 3)) for s, w in (("law", ["court", "verdict", "judge"]), ("sea", ["ship", "harbour", "sailor"])) for _ in range(4)]
+    p = subjects.prior(sample)
+    phi = subjects._normal(p.beta)
+    named = subjects.name_topics(phi, p)[0][0]
+    turn = np.roll(np.arange(phi.shape[2]), 2)  # the names go with the words, not with the place of a topic
+    assert (subjects.name_topics(phi[:, :, turn], p)[0][0] == named[turn]).all() and len(set(named.tolist())) == 3
+    mixed = phi.copy()
+    mixed[:, :, 0] = phi[:, :, [0, 2]].mean(2)  # the terms of two subjects alike
+    assert subjects.name_topics(mixed, p, agree=0.6)[0][0][0] == len(p.subjects)
+
+
 def brute_ppm(model, samples, data):
     """Code lengths straight from counts, for one language."""
     cost = []
