@@ -161,12 +161,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    q = quality.quality(table(spark, d, "documents"), quality.common_words(table(spark, d, "topic_seed")), "doc_id", "text")
+    q = quality.quality(table(spark, d, "documents"), quality.language(table(spark, d, "topic_seed")), "doc_id", "text")
     return q.withColumnRenamed("id", "doc_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    q = quality.quality(table(spark, d, "documents"), quality.common_words(table(spark, d, "topic_seed")), "doc_id", "text")
+    q = quality.quality(table(spark, d, "documents"), quality.language(table(spark, d, "topic_seed")), "doc_id", "text")
     return q.where("kind <> 'prose'").select(F.col("id").alias("doc_id"), "kind").distinct()
 
 

@@ -358,13 +358,55 @@ def test_mixing_meets_shares_and_caps(spark):
     assert a.count() == 0 and b.count() == 5
 
 
+FINNISH = "Vanha kirjastonhoitaja avasi raskaan kirjan ja katseli pitkään kellastuneita sivuja. Ulkona satoi hiljaa, ja lukusalin ikkunat olivat huurteessa.\nKukaan ei puhunut mitään, mutta jokainen kuuli, kuinka sivut kääntyivät. Illalla hän palasi kotiin ja kirjoitti päiväkirjaansa muutaman rivin."
+POLISH = "Stary bibliotekarz otworzył ciężką książkę i długo przyglądał się pożółkłym stronom, zanim zaczął czytać na głos. Nikt nie odpowiadał, a za oknem padał deszcz."
+TURKISH = "Yaşlı kütüphaneci ağır kitabı açtı ve sayfalara uzun süre baktı, sonra yüksek sesle okumaya başladı. Dışarıda yağmur yağıyordu ve kimse konuşmuyordu."
+
+
 @needs
 def test_quality_kinds(spark):
-    common = quality.common_words(spark.read.parquet(f"{D}/topic_seed.parquet"))
+    lang = quality.language(spark.read.parquet(f"{D}/topic_seed.parquet"))
     prose = spark.read.parquet(f"{D}/topic_seed.parquet").orderBy("seed_id").select("text").limit(4).collect()
-    cases = [(p[0], "prose") for p in prose] + [(p[0].lower().replace(".", ""), "prose") for p in prose]
-    cases += [("- El fármaco\n- La dosis\n- La fiebre\n- El tumor", "list"), ("la dosis, 12\nla fiebre, 4, 9\nel tumor, 77", "list"), ("| a | b |\n|---|---|\n| la fiebre | 2 |\n| el tumor | 4 |", "table"), ("la dosis\t1\t2\nel tumor\t3\t4\nla fiebre\t5\t6", "table"), ("xk qv zzt " * 9, "junk"), ("la dosis " * 60, "junk"), ("", "junk"), (None, "junk"), ("%;[:;+/§ < *:¤ .<[¶ &:}", "junk")]
+    rng = random.Random(3)
+    shuffled = " ".join("".join(rng.sample(w, len(w))) for w in (prose[0][0] + " " + prose[1][0]).split())
+    cases = [(p[0], "prose") for p in prose] + [(p[0].lower().replace(".", ""), "prose") for p in prose] + [(t, "prose") for t in (FINNISH, POLISH, TURKISH)]
+    cases += [("- El fármaco\n- La dosis\n- La fiebre\n- El tumor", "list"), ("la dosis, 12\nla fiebre, 4, 9\nel tumor, 77", "list"), ("| a | b |\n|---|---|\n| la fiebre | 2 |\n| el tumor | 4 |", "table"), ("la dosis\t1\t2\nel tumor\t3\t4\nla fiebre\t5\t6", "table"), ("xk qv zzt " * 9, "junk"), ("la dosis " * 60, "junk"), ("", "junk"), (None, "junk"), ("%;[:;+/§ < *:¤ .<[¶ &:}", "junk"), (shuffled, "junk"), ("3f a0 9b 1c e7 00 4d b2 c8 5e\n" * 2 + "7a b1 0c 2d f9 88 13 6e a4 d0", "junk")]
     df = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(cases)], "doc_id int, text string, kind string")
-    got = {r["id"]: r["kind"] for r in quality.quality(df, common, "doc_id", "text").collect()}
+    got = {r["id"]: r["kind"] for r in quality.quality(df, lang, "doc_id", "text").collect()}
     assert got == {i: k for i, (_, k) in enumerate(cases)}
-    assert quality.quality(df.limit(0), common, "doc_id", "text").count() == 0
+    assert quality.quality(df.limit(0), lang, "doc_id", "text").count() == 0
+
+
+def test_each_measure_decides_some_text(monkeypatch):
+    lang = quality.learn([FINNISH, POLISH] * 2)
+    own = FINNISH.replace("\n", " ").split()
+    nested = "\n".join(f"{' '.join(own[i : i + 9])} loppu kerrotaan kokonaan.\n   {' '.join(own[i + 3 : i + 14])} mukana kaikki" for i in range(0, 18, 3))
+    wrapped = "kirjan sivut olivat vanhoja ja\nniiden reunat olivat kuluneet, mutta\nteksti oli luettavissa ja hän luki\nsitä ääneen koko illan kunnes väsyi\nja sulki kirjan ja nukahti tuoliin"
+    k = lambda t: quality.measure(t, lang)[1]
+    assert quality.measure(nested, lang)[0][quality.NAMES.index("indent_period")] > 0.9
+    assert quality.measure(wrapped, lang)[0][quality.NAMES.index("fill_ratio")] >= 0.75
+    items = {"mark_ratio": "- Vanha kirja jonka sivut olivat kuluneet ja jonka hän luki ääneen illalla kotonaan.\n- Uusi kirja jonka hän avasi vasta seuraavana aamuna ennen kuin lähti taas töihin.", "start_ratio": "kirja: vanha aineisto ja uusi tutkimus sekä niiden pitkä historia tässä näin.\n" * 2 + "kirja: toinen aineisto ja kolmas tutkimus sekä muu historia tässä näin kaikki.\nkirja: neljäs aineisto ja viides tutkimus sekä lyhyt historia tässä näin.", "indent_period": nested}
+    for name, text in items.items():
+        assert k(text) == "list"
+        with monkeypatch.context() as m:
+            m.setitem(quality.BY_SHAPE, name, 0.0)
+            assert k(text) == "prose", name
+    signs = [("(", ") =", "[x]; /"), ("{", "} &", '"y": ='), ('"', '" +', "(z) / ="), ("[", "] =", "{w}; +")]
+    lines = {
+        "short_lines": "vanha kirja\nuusi tutkimus\nlyhyt historia\npitkä ilta",
+        "number_lines": "\n".join(" ".join(own[i : i + 3 + i % 7]) + f" vuonna {1900 + 7 * i}, ja sitten vielä hiljaa luettu" + " kaikki tekstit" * (3 if i == 4 else 0) for i in range(0, 24, 2)),
+        "sign_lines": "\n".join(f"{x}{own[i]}{y} {' '.join(own[i + 1 : i + 4 + i % 5])} {z} {' '.join(own[i + 5 : i + 8])}!" + " / kaikki = (tekstit)" * (3 if i == 4 else 0) for i, (x, y, z) in enumerate(signs * 3)),
+    }
+    for name, text in lines.items():
+        assert k(text) == "list", name
+        with monkeypatch.context() as m:
+            m.setitem(quality.BY_LINE, name, 0.0)
+            m.setattr(quality, "NUMBERS_AND_SIGNS", 0.0)
+            assert k(text) == "prose", name
+    assert k(wrapped) == "prose"
+    padded = "\n".join(("kirja      " + w + " mukana" if i % 2 else "tutkimus x " + w + " mukana").ljust(27, "a") for i, w in enumerate(["vanha", "uusi", "lyhyt", "toinen", "pitkä", "hidas", "nopea"]))[: 27 * 7 + 6]
+    padded = padded + "\n" + "sivu       kaikki mukanaaaa"
+    assert 0.45 < quality.measure(padded, lang)[0][quality.NAMES.index("align_ratio")] < 0.6 and k(padded) == "table"
+    with monkeypatch.context() as m:
+        m.setattr(quality, "PADDED", 0.0)
+        assert k(padded) != "table"
