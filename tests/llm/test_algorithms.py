@@ -237,6 +237,60 @@ def test_scan_noise_and_repair(spark):
     assert out["n"]["text"] is None and out["e"]["noise"] == [] and not out["c0"]["noise"]
 
 
+def test_words_run_together_or_parted_are_decoded():
+    known = "the quiet reader opened the heavy volume and noticed several careful remarks about modern printing methods near the margin"
+    lex = scans.build_lexicon([(w, 30) for w in set(known.split())], 31)
+    page = ["the quiet reader opened", "the heavyvolume and noticed", "several care ful remarks", "about modern printing", "methodsnearthe margin.", "Zusoven noticed the quiet", "reader near the prin", "ting methods and Zusoven"]
+    found, text = scans.analyse("\n".join(page), None, None, lex)
+    assert {(2, "chars"), (3, "chars"), (5, "chars")} == set(found)
+    assert "the heavy volume and noticed several careful remarks about modern printing methods near the margin." in text and "Zusoven" in text
+    assert [w for *_, w in scans.decode(("care", "ful"), frozenset({0}), lex)] == ["careful"]
+    assert [w for *_, w in scans.decode(("quiet", "reader"), frozenset({0}), lex)] == ["quiet", "reader"]
+    # the path is the cheapest of all partitions
+    import functools
+
+    def brute(s, border):
+        @functools.lru_cache(None)
+        def best(p):
+            if p == len(s):
+                return 0.0
+            out = 1e9
+            for q in range(p + 1, len(s) + 1):
+                c = lex.cost(s[p:q])
+                if c is None and q - p > 3 and scans.key(s[p:q]) in lex.keys:
+                    c = lex.cost(lex.keys[scans.key(s[p:q])]) + scans.CONFUSED
+                if p == 0 and q == len(s):
+                    c = min(c if c is not None else 1e9, scans.UNKNOWN + scans.PER_LETTER * len(s))
+                if c is not None:
+                    out = min(out, (scans.BETWEEN if p else 0) + c + best(q))
+            return out
+
+        return best(0)
+
+    for s in ("heavyvolume", "thequietreader", "carefu1remarks", "zzzz", "nearthemargin", "volumez"):
+        path = scans.decode((s,), frozenset(), lex)
+        cost = 0.0
+        for p, q, w in path:
+            c = lex.cost(w)
+            cost += (scans.BETWEEN if p else 0) + (scans.UNKNOWN + scans.PER_LETTER * len(w) if c is None else c + (scans.CONFUSED if w != s[p:q] else 0))
+        assert abs(cost - brute(s, None)) < 1e-9
+
+
+def test_confusions_are_found_at_any_length():
+    long = "w" + "undersameigenartigkeit" * 3
+    lex = scans.build_lexicon([(long, 30), ("remarks", 30)], 31)
+    assert lex.search(long.replace("m", "rn")) == long and lex.search("rernarks") == "remarks" and lex.search("zzz") is None
+
+
+def test_breaks_of_paragraphs_depend_on_their_length():
+    lines = ["der alte Leser sah das schwere", "", "Buch und las es dann ganz bis", "", "Ende und ging langsam wieder", "", "Heim in sein stilles altes Haus", "", "um dort zu ruhen und zu lesen", "", "bis zum Abend jenes langen Tags."]
+    kinds = ["blank" if not x else "text" for x in lines]
+    fixed = {i: x for i, x in enumerate(lines) if x}
+    parts = scans._paragraphs(lines, kinds, fixed).split("\n\n")
+    # alone, every break before a capital would be the cheaper choice; a paragraph of one full line is not
+    assert len(parts) < 4 and all(len(p) > 40 for p in parts)
+
+
 @needs
 def test_subjects_of_held_out_samples(spark):
     seed = spark.read.parquet(f"{D}/topic_seed.parquet")
