@@ -205,6 +205,23 @@ def test_mojibake_round_trip(spark):
     assert np.mean([got[f"u{i}"] == held[i] for i in odd]) > 0.85
 
 
+@needs
+def test_swaps_outside_the_list_are_learned_from_their_source(spark):
+    seed = spark.read.parquet(f"{D}/topic_seed.parquet")
+    text = [r[0] for r in seed.where("language in ('es', 'fr', 'de', 'pt')").orderBy("seed_id").select("text").collect()]
+    garble = lambda t, was, read: "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in t.encode(was, "replace"))
+    odd = [i for i, t in enumerate(text) if not t.isascii()]
+    clean = [(f"c{i}", t) for i, t in enumerate(text)]
+    for was, read, share in (("cp1252", "cp775", 0.75), ("mac_roman", "cp850", 0.83), ("cp1252", "iso8859_5", 0.88)):
+        assert (was, read) not in langid.GARBLES
+        df = spark.createDataFrame(clean + [(f"g{i}", garble(text[i], was, read)) for i in odd], "id string, t string")
+        model = mojibake.fit(df, ["t"], seed)
+        got = {r["id"]: r["restored"] for r in mojibake.garbled(df, model, "id", ["t"]).collect()}
+        assert not [k for k in got if k[0] == "c"]
+        assert np.mean([f"g{i}" in got for i in odd]) > 0.95
+        assert np.mean([got.get(f"g{i}") == text[i] for i in odd]) > share
+
+
 def test_author_links(spark):
     groups = [
         ["Robert Susan Nigobudo Rivas", "Bob Nigobudo", "NIGOBUDO, Robert", "R. Nigobudo", "Robert_Nigobudo", "Robert Nigobdo", "by Robert Nigobudo", "Dr. Robert Nigobudo (1951-)"],
