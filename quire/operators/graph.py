@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quire.session import materialize
+from quire.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -22,8 +22,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         step = labels.join(seen, "u").select("u", F.col("l").alias("old"), F.least("l", "nl").alias("l"))
         up = labels.select(F.col("u").alias("l"), F.col("l").alias("ul"))
         nxt = materialize(step.join(up, "l", "left").select("u", "old", F.least("l", F.coalesce("ul", "l")).alias("l")), "cc-l")
+        discard(labels)
         changed = nxt.where("l <> old").limit(1).count()
-        labels = nxt.select("u", "l")
+        labels = nxt
         if not changed:
-            break
-    return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
+            discard(e)
+            return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
+    raise RuntimeError(f"the labels of the components still change after {max_rounds} rounds")

@@ -63,7 +63,20 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that nothing still to be run reads; other DataFrames are left alone."""
+    for t in tables:
+        path = getattr(t, "_table", None)
+        if path:
+            spark = t.sparkSession
+            hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hp, True)
+            t._table = None
 
 
 def small_rows(df: DataFrame, most: int) -> list:
