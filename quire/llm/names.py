@@ -1,23 +1,24 @@
 """Variant spellings of authors, linked by merge and rematch.
 
 Every distinct spelling is read into a profile: family names, given names or initials, or the kind and place of an
-organisation. Profiles that agree meet in blocks (family name with one letter dropped, so that any single typing error
-meets, plus the first initial). Merging matched profiles unions their spellings, given names and initials; the richer
+organisation. Profiles that agree meet in blocks (family and given name, one of them with a letter dropped, so that any
+single typing error meets; initials and organisations by the name with a letter dropped and the first initial). Merging matched profiles unions their spellings, given names and initials; the richer
 profiles are blocked again, until a round merges nothing. A spelling with initials only joins a profile when a single
 one fits it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.operators.graph import connected_components
-from quire.session import arrow_rows, materialize, ship
+from quire.session import arrow_rows, discard, materialize, ship
 
 #: Short forms of given names, without accents.
 NICKNAMES = {
@@ -200,13 +201,32 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["role", "word", "beside"])
 
 
-def _blocks(p: DataFrame) -> DataFrame:
-    """Profiles with their block keys: the family name or place whole and with each letter dropped, and the initial."""
-    i = F.coalesce(F.substring(F.get("g", F.lit(0)), 1, 1), F.lit(""))
-    i = F.when(F.col("org"), F.substring(F.get("kind", F.lit(0)), 1, 1)).otherwise(i)
-    drop = F.transform(F.sequence(F.lit(1), F.greatest(F.length("main"), F.lit(1))), lambda k: F.concat(F.substring("main", F.lit(1), k - 1), F.expr("''"), F.substr(F.col("main"), k + 1)))
-    keys = F.when(F.length("main") >= 4, F.array_union(F.array("main"), drop)).otherwise(F.array("main"))
-    return p.withColumn("key", F.explode(keys)).withColumn("initial", i)
+def _dropped(c: Column) -> Column:
+    """A word whole and with each letter dropped, where it is long enough for a typing error."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.concat(F.substring(c, F.lit(1), k - 1), F.substr(c, k + 1)))
+    return F.when(F.length(c) >= 4, F.array_union(F.array(c), each)).otherwise(F.array(c))
+
+
+def _pairs(view: DataFrame) -> DataFrame:
+    """(a, b, pa, pb): pairs of clusters that may fit, each at least once.
+
+    Two profiles with full given names share one typing error at most: they meet on the family name whole and the given
+    name with a letter dropped, or the other way round, so a common family name parts by its given names. Profiles of
+    initials, which are few to a name, and organisations meet on the name with a letter dropped and the initial.
+    """
+    g = F.coalesce(F.get("g", F.lit(0)), F.lit(""))
+    v = view.select("cid", "org", "main", g.alias("first"), F.coalesce(F.substring(F.when(F.col("org"), F.get("kind", F.lit(0))).otherwise(g), 1, 1), F.lit("")).alias("initial"), F.struct("org", "main", "kind", "g", "s2").alias("p"))
+    full = ~F.col("org") & (F.length("first") > 1)
+    one = v.where(full).select("cid", "p", F.col("main").alias("k1"), F.explode(_dropped(F.col("first"))).alias("k2"), F.lit(0).alias("way"))
+    two = v.where(full).select("cid", "p", F.explode(_dropped(F.col("main"))).alias("k1"), F.col("first").alias("k2"), F.lit(1).alias("way"))
+    fine = one.union(two)
+    wide = v.select("cid", "p", full.alias("full"), F.explode(_dropped(F.col("main"))).alias("k1"), F.col("initial").alias("k2"))
+    side = lambda t, x: t.select(*[c for c in t.columns if c in ("k1", "k2", "way")], F.col("cid").alias(x), F.col("p").alias(f"p{x}"))
+    met = side(fine, "a").join(side(fine, "b"), ["k1", "k2", "way"]).where("a < b").select("a", "b", "pa", "pb")
+    short = side(wide.where(~F.col("full")), "a").join(side(wide, "b"), ["k1", "k2"]).where("a <> b")
+    swap = F.col("a") > F.col("b")
+    short = short.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("pb")).otherwise(F.col("pa")).alias("pa"), F.when(swap, F.col("pa")).otherwise(F.col("pb")).alias("pb"))
+    return met.union(short).distinct()
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,22 +236,25 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
 
 
-def author_clusters(names: DataFrame, col: str, least: int = 3, max_words: int = 20_000) -> DataFrame:
+def author_clusters(names: DataFrame, col: str, least: int = 3, share: float = 5e-5) -> DataFrame:
     """(name, entity): every distinct spelling with the least spelling of its entity.
 
     Spellings of one profile are collapsed before blocking, so repeated or merely re-cased names cost one profile. Which
-    words are given names or second family names is counted over all spellings (the max_words most frequent of each come
-    to the driver). Null, empty and nobody entries are left out; a name of one word only matches itself. An empty table
+    words are given names or second family names is counted over all spellings: those in at least `least` of them and in
+    the given share, which bounds what comes to the driver (a spelling has one first and one last word, so 1 / share words
+    of each kind). Null, empty and nobody entries are left out; a name of one word only matches itself. An empty table
     gives an empty result.
     """
     ship(names.sparkSession)
     arrow_rows(names.sparkSession, 5000)
     n = materialize(names.select(F.col(col).cast("string").alias("name")).where("name is not null").distinct(), "au-names")
     w = materialize(n.mapInArrow(_words, "role string, word string, beside string").distinct(), "au-words")
-    top = lambda role: w.where(F.col("role") == role).groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(max_words)
-    given = frozenset(r[0] for r in top("first").collect())
-    known = list(given | set(_CANON) | set(NICKNAMES))
-    second = frozenset(r[0] for r in w.where((F.col("role") == "last") & ~F.col("word").isin(known) & ~F.col("beside").isin(known)).groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(max_words).collect())
+    often = max(least, math.ceil(share * n.count()))
+    first = materialize(w.where("role = 'first'").groupBy("word").count().where(F.col("count") >= often).select("word"), "au-given")
+    given = frozenset(r[0] for r in first.collect())
+    known = first.union(names.sparkSession.createDataFrame([(x,) for x in sorted(set(_CANON) | set(NICKNAMES))], "word string")).distinct()
+    rest = w.where("role = 'last'").join(known, "word", "left_anti").join(known.select(F.col("word").alias("beside")), "beside", "left_anti")
+    second = frozenset(r[0] for r in rest.groupBy("word").count().where(F.col("count") >= often).select("word").collect())
     spelled = materialize(n.mapInArrow(lambda it: _profiles(it, given, second), f"name string, {_PROFILE}"), "au-profiles")
     shape = ["org", "main", "kind", "g", "s2"]
     prof = materialize(spelled.groupBy(*shape).agg(F.min("name").alias("pid")), "au-shapes")
@@ -246,9 +269,7 @@ def author_clusters(names: DataFrame, col: str, least: int = 3, max_words: int =
         # the union of a cluster's spellings and initials is one more profile of it
         extra = p.where("cg is not null").select("cid", "org", "main", "kind", F.col("cg").alias("g"), F.coalesce("cs2", "s2").alias("s2"))
         view = materialize(p.select("cid", *shape).union(extra).distinct(), "au-view")
-        b = _blocks(view).select("key", "initial", "cid", F.struct(*shape).alias("p"))
-        pairs = b.select("key", "initial", F.col("cid").alias("a"), F.col("p").alias("pa")).join(b.select("key", "initial", F.col("cid").alias("b"), F.col("p").alias("pb")), ["key", "initial"]).where("a < b")
-        fit = materialize(pairs.select("a", "b", "pa", "pb").distinct().mapInArrow(_match, "a string, b string").distinct(), "au-fit")
+        fit = materialize(_pairs(view).mapInArrow(_match, "a string, b string").distinct(), "au-fit")
         # a cluster known by initials only, or by one full name among several, joins when one cluster alone fits it
         full = view.groupBy("cid").agg(F.max(F.when(F.col("org"), F.length(F.concat_ws("", "kind")) > F.size("kind") * 3).otherwise(F.coalesce(F.length(F.get("g", F.lit(0))) > 1, F.lit(False)))).alias("full"))
         f = fit.join(full.select(F.col("cid").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("cid").alias("b"), F.col("full").alias("fb")), "b")
@@ -260,6 +281,7 @@ def author_clusters(names: DataFrame, col: str, least: int = 3, max_words: int =
             single = weak.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).where("n = 1").select("a", "b")
             edges = single if single.limit(1).count() else f.where("not fa and not fb").join(weak.select("a"), "a", "left_anti").join(weak.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b")
         edges = materialize(edges, "au-edges")
+        discard(view, fit)
         if not edges.limit(1).count():
             break
         comp = connected_components(edges)
