@@ -218,20 +218,23 @@ def running_text(paragraph: str) -> bool:
 def _segments(batches: Iterator[pa.RecordBatch], model: Ppm, margin: float) -> Iterator[pa.RecordBatch]:
     names = model.languages
     for b in batches:
-        paras, owner, number = [], [], []
+        paras, owner, number, short = [], [], [], []
         texts = b.column(1).to_pylist()
         for i, t in enumerate(texts):
             code = False
             for no, p in enumerate((t or "").split("\n\n"), 1):
                 fence = p.count("```") % 2
-                if not code and not fence and running_text(p):
-                    paras.append(p), owner.append(i), number.append(no)
+                if not code and not fence:
+                    if running_text(p):
+                        paras.append(p), owner.append(i), number.append(no)
+                    elif _LETTER.search(p):
+                        short.append((i, no, p))
                 code ^= bool(fence)
         rows: list[tuple] = []
         held = set(owner)
         whole = [i for i, t in enumerate(texts) if t and i not in held and _LETTER.search(t)]
         # texts with no paragraph of running text are judged as a whole
-        bits = score_texts(model, paras + [texts[i] for i in whole])
+        bits = score_texts(model, paras + [texts[i] for i in whole] + [p for _, _, p in short])
         best = bits.argmin(1) if len(bits) else np.empty(0, int)
         conf = 1 / np.exp2(np.clip(bits.min(1, initial=1e30)[:, None] - bits, -60, 0)).sum(1) if len(bits) else best
         vote = np.zeros((len(texts), len(names)))
@@ -240,7 +243,7 @@ def _segments(batches: Iterator[pa.RecordBatch], model: Ppm, margin: float) -> I
         for q, i in enumerate(whole, len(paras)):
             main[i] = best[q]
         share = vote.max(1) / np.maximum(vote.sum(1), 1)
-        share[whole] = conf[len(paras) :]
+        share[whole] = conf[len(paras) : len(paras) + len(whole)]
         told = held | set(whole)
         for i in range(len(texts)):
             rows.append((i, 0, names[main[i]], float(share[i]), names[main[i]]) if i in told else (i, 0, None, 0.0, None))
@@ -248,7 +251,12 @@ def _segments(batches: Iterator[pa.RecordBatch], model: Ppm, margin: float) -> I
             m = main[np.array(owner)]
             at = np.arange(len(paras))
             pick = np.where(bits[at, m] - bits[at, best[: len(paras)]] >= margin, best[: len(paras)], m)
-            rows += [(i, no, names[k], float(c), names[h]) for i, no, k, c, h in zip(owner, number, pick, conf, m)]
+            # the confidence is that of the language given, also where the lead of another one is too small
+            sure = conf[at] * np.exp2(np.clip(bits[at, best[at]] - bits[at, pick], -60, 0))
+            rows += [(i, no, names[k], float(c), names[h]) for i, no, k, c, h in zip(owner, number, pick, sure, m)]
+        for q, (i, no, _) in enumerate(short, len(paras) + len(whole)):
+            # too short to tell, or no running text: the document's language, with its own weight
+            rows.append((i, no, names[main[i]], float(conf[q] * np.exp2(max(-60.0, bits[q, best[q]] - bits[q, main[i]]))), names[main[i]]))
         ids = b.column(0).to_pylist()
         label = b.column(2).to_pylist()
         yield pa.RecordBatch.from_arrays(
@@ -264,10 +272,11 @@ def fit_from(seed: DataFrame, language: str = "language", text: str = "text", ma
 
 
 def languages(df: DataFrame, model: Ppm, id_col: str, text_col: str, label_col: str | None = None, margin: float = 12.0) -> DataFrame:
-    """(id, para_no, language, confidence, main, label): para_no 0 is the document, >= 1 its paragraphs of running text.
+    """(id, para_no, language, confidence, main, label): para_no 0 is the document, >= 1 its paragraphs with letters.
 
     No shuffle: each document is scored whole where it lies. A paragraph counts as deviating only if another language's
-    code is shorter by `margin` bits. A text without letters, or null, has a row 0 with null language and confidence 0;
+    code is shorter by `margin` bits; other paragraphs with letters (headings, tables, lines of a few words) have the
+    document's language, with the confidence that their own code lengths give it. A text without letters, or null, has a row 0 with null language and confidence 0;
     `label` is the two-letter code that the given label denotes, or null. An empty table gives an empty result.
     """
     ship(df.sparkSession)
