@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quire.operators.graph import connected_components
-from quire.session import arrow_rows, materialize, ship
+from quire.session import arrow_rows, discard, materialize, ship
 
 T = 64  # min-hash tokens of one set
 WORD = re.compile(r"[^\W_]+")
@@ -98,7 +98,7 @@ def _roots(batches: Iterator[pa.RecordBatch], runs: list[int], split: float) ->
         if b.num_rows:
             sig, k = _sigs(b.column(1)), b.column(0).to_numpy()
             for r in runs:
-                row, child = _children(np.full(len(k), np.uint64(r + 1) * np.uint64(0xD6E8FEB86659FD93), np.uint64), sig, split)
+                row, child = _children(np.full(len(k), (r + 1) * 0xD6E8FEB86659FD93 % 2**64, np.uint64), sig, split)
                 yield pa.RecordBatch.from_arrays([pa.array(k[row]), _signed(child), pa.array(np.full(len(row), r, np.int32))], ["k", "node", "run"])
 
 
@@ -192,6 +192,19 @@ def _all_pairs(hot: DataFrame, sets: DataFrame, threshold: float, part: int = 51
     return rows.groupBy("group", "lo", "hi").applyInArrow(lambda t: _block(t, threshold), "a string, b string")
 
 
+def capture_rate(mean: float, runs: int) -> float:
+    """The chance that one run captures a pair, from the mean captures of the pairs that were captured at all: those never
+    captured are missing from the mean, which is that of a binomial without its zero."""
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        p = (lo + hi) / 2
+        if runs * p / max(1e-300, 1 - (1 - p) ** runs) < mean:
+            lo = p
+        else:
+            hi = p
+    return lo
+
+
 def near_duplicates(
     df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, recall: float = 0.995, split: float | None = None, small: int = 48, runs: int = 8, max_depth: int = 8, max_runs: int = 32
 ) -> DataFrame:
@@ -220,11 +233,13 @@ def near_duplicates(
     while done < max_runs:
         batch = list(range(done, min(done + runs, max_runs)))
         done += len(batch)
-        parts, frontier = [], reps.select("k", "sig").mapInArrow(lambda it, rs=batch: _roots(it, rs, split), "k long, node long, run int")
+        parts, written, frontier = [], [], reps.select("k", "sig").mapInArrow(lambda it, rs=batch: _roots(it, rs, split), "k long, node long, run int")
         for depth in range(max_depth):
             frontier = materialize(frontier, "nd-frontier")
             size = frontier.groupBy("node", "run").count().where("count > 1")
             sized = materialize(frontier.join(size, ["node", "run"]), "nd-sized")
+            discard(frontier)
+            written.append(sized)
             parts.append(sized.where(F.col("count") <= small).select("k", "node", "run"))
             large = sized.where(F.col("count") > small).select("k", "node", "run")
             if not large.limit(1).count():
@@ -246,8 +261,9 @@ def near_duplicates(
             ga, gb = hot.select(F.col("k").alias("a"), F.col("group").alias("ga")), hot.select(F.col("k").alias("b"), F.col("group").alias("gb"))
             found = found.join(ga, "a", "left").join(gb, "b", "left").where("not coalesce(ga = gb, false)").select("a", "b", "run")
         found = materialize(found.distinct(), "nd-found")
+        discard(*written)
         n, hits = found.groupBy("a", "b").count().agg(F.count("*"), F.sum("count")).first()
-        rate = (hits or 0) / (n * done) if n else 1.0
+        rate = capture_rate(hits / n, done) if n else 1.0
         if not n or 1 - (1 - rate) ** done >= recall:
             break
     else:

@@ -427,6 +427,27 @@ def test_mixing_meets_shares_and_caps(spark):
     assert all(1 <= r["copies"] <= caps[r["profile"], r["source"]] for r in picked.collect())
     a, b = mixing.mix(df.limit(0), t, "doc", "source", "tokens")
     assert a.count() == 0 and b.count() == 5
+    # at the feasible total every source has its share
+    met = [r for r in mixing.mix(df, t, "doc", "source", "tokens", totals="feasible")[1].collect() if r["profile"] == "p"]
+    assert all(abs(r["share"] - r["target_share"]) < 0.01 for r in met) and {r["feasible_total"] for r in met} == {15_000.0}
+
+
+def test_capture_rate_counts_pairs_never_seen():
+    rng = random.Random(1)
+    hits = [sum(rng.random() < 0.2 for _ in range(8)) for _ in range(20_000)]
+    seen = [h for h in hits if h]
+    assert abs(neardup.capture_rate(sum(seen) / len(seen), 8) - 0.2) < 0.01 < sum(seen) / len(seen) / 8 - 0.2
+
+
+def test_common_family_name_parts_by_given_names(spark):
+    rng = random.Random(4)
+    given = sorted({"".join(rng.choice("bdglmnrst") + rng.choice("aeio") for _ in range(4)) for _ in range(300)})
+    rows = [(f"{g.title()} Garcia",) for g in given] + [("Wilhelmina Garcia",), ("Wilhelmna Garcia",), ("Wilhelmina Garca",), ("GARCIA, Wilhelmina",)]
+    df = spark.createDataFrame(rows, "a string")
+    view = df.select(F.col("a").alias("cid"), F.lit(False).alias("org"), F.lit("garcia").alias("main"), F.array().cast("array<string>").alias("kind"), F.array(F.lower(F.split("a", " ")[0])).alias("g"), F.lit("").alias("s2"))
+    assert names._pairs(view).count() < 3 * len(rows)  # not the square of the block
+    got = {r["name"]: r["entity"] for r in names.author_clusters(df, "a").collect()}
+    assert len({got[n] for n in ("Wilhelmina Garcia", "Wilhelmna Garcia", "Wilhelmina Garca", "GARCIA, Wilhelmina")}) == 1
 
 
 FINNISH = "Vanha kirjastonhoitaja avasi raskaan kirjan ja katseli pitkään kellastuneita sivuja. Ulkona satoi hiljaa, ja lukusalin ikkunat olivat huurteessa.\nKukaan ei puhunut mitään, mutta jokainen kuuli, kuinka sivut kääntyivät. Illalla hän palasi kotiin ja kirjoitti päiväkirjaansa muutaman rivin."
