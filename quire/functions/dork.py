@@ -89,3 +89,14 @@ def every(query: Column, author: Column, isbn: Column, filetype: Column, site: C
     """All strategies in their order, that by ISBN first where there is one."""
     rest = F.array(direct(query, author, filetype), by_filetype(query, filetype, site), open_library(query, author), index_of(query, filetype), google_books(query, author), academic(query, author), download_page(query, author))
     return F.when(_given(isbn), F.concat(F.array(by_isbn(isbn)), rest)).otherwise(rest)
+
+
+def client(title: Column, author: Column, filetype: Column) -> tuple[Column, Column]:
+    """The two links a page offers beside a hit: with the file type as an operator, and as a plain word."""
+    kind = F.when(_chosen(filetype), filetype).otherwise("pdf")
+    last = F.try_element_at(F.split(F.trim(F.replace(author, F.lit('"'), F.lit(""))), r"\s+"), F.lit(-1))
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce(title, F.lit("")), F.lit('"'), F.lit("")), F.lit('"'))
+    # as browsers encode: blanks as %20, and a few signs left as they are
+    plain = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%21"), F.lit("!")), F.lit("%27"), F.lit("'")), F.lit("%28"), F.lit("(")), F.lit("%29"), F.lit(")")), F.lit("%7E"), F.lit("~"))
+    made = lambda what: F.concat(F.lit(BASE + "?q="), plain(F.concat_ws(" ", quoted, what, F.when(F.length(last) > 2, last))))
+    return made(F.concat(F.lit("filetype:"), kind)), made(kind)

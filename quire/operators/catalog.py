@@ -76,3 +76,60 @@ def text_filter(df: DataFrame, needle: str, columns: list[str]) -> DataFrame:
     for c in columns:
         hit |= F.contains(F.coalesce(tx.strip_accents(F.col(c).cast("string")), F.lit("")), tx.strip_accents(F.lit(needle)))
     return df.where(hit)
+
+
+def point_read(catalog: DataFrame, bodies: DataFrame, file_hash: str | None = None, book_id: str | None = None) -> DataFrame:
+    """The row of a content hash (or the least hash of a book) with its body; nothing if there is none. The key is pushed to
+    the scans of both tables, so a catalogue laid out by hash opens few files."""
+    if file_hash is None:
+        c = catalog.where(F.col("book_id") == book_id).groupBy("book_id").agg(F.min_by(F.struct(*[c for c in catalog.columns if c != "book_id"]), "file_hash").alias("r")).select("book_id", "r.*")
+        return c.select(*catalog.columns).join(bodies, "file_hash")
+    return catalog.where(F.col("file_hash") == file_hash).join(bodies.where(F.col("file_hash") == file_hash), "file_hash")
+
+
+def touch(catalog: DataFrame, hashes: DataFrame, now: Column) -> DataFrame:
+    """The catalogue with the access time of the given hashes moved on; it never goes back, nor before the creation."""
+    h = hashes.select("file_hash").distinct().withColumn("_hit", F.lit(True))
+    j = catalog.join(h, "file_hash", "left")
+    return j.withColumn("accessed_at", F.when(F.col("_hit"), F.greatest("accessed_at", "created_at", now)).otherwise(F.col("accessed_at"))).select(*catalog.columns)
+
+
+def first_files(files: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """`within`: whether a file is among the first `most` of its batch. Files are numbered by prefix sums over parts, so a
+    batch with a third of all files is no single task's work; `order` must break all ties."""
+    from quire.operators.limits import prefix_sum
+
+    n = prefix_sum(files.withColumn("_one", F.lit(1).cast("long")), [key], order, "_one", "_no")
+    return n.withColumn("within", F.col("_no") <= most).drop("_one", "_no")
+
+
+def reclassify(catalog: DataFrame, topic: Column) -> DataFrame:
+    """Rows whose topic changes get it and the book id that goes with it; `updated` tells which. Counts are one aggregate away."""
+    c = catalog.withColumn("_t", topic)
+    new = ~F.col("_t").eqNullSafe(F.col("topic"))
+    made = tx.book_id(F.col("isbn"), F.col("file_hash"), F.col("language"), F.col("_t"))
+    return c.withColumns({"updated": new, "book_id": F.when(new, made).otherwise(F.col("book_id")), "topic": F.when(new, F.col("_t")).otherwise(F.col("topic"))}).drop("_t")
+
+
+#: Roles in rising order.
+ROLES = {"support": 1, "billing": 2, "admin": 3, "superadmin": 4}
+
+
+def role_level(role: Column) -> Column:
+    """The level of a role in any case and with blanks around it; 0 for none."""
+    r = F.lower(F.trim(role))
+    return F.coalesce(*[F.when(r == k, F.lit(v)) for k, v in ROLES.items()], F.lit(0))
+
+
+def set_claim(claims: Column, name: str, value: Column) -> Column:
+    """A map of claims with one set, or cleared by null, and all others kept."""
+    rest = F.map_filter(F.coalesce(claims, F.expr("cast(map() as map<string,string>)")), lambda k, v: k != name)
+    return F.when(value.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(name), value)))
+
+
+def merge_fields(users: DataFrame, changes: DataFrame, key: str = "uid") -> DataFrame:
+    """Users with the fields of the changes that are not null set, new ones added; of repeated changes the greatest value."""
+    own = [c for c in changes.columns if c != key]
+    ch = changes.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(c).alias(f"_{c}") for c in own])
+    j = users.join(ch, key, "full_outer")
+    return j.select(key, *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in own else F.col(c) for c in users.columns if c != key])

@@ -6,11 +6,13 @@ from collections import Counter
 from collections.abc import Iterator
 from statistics import median
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.session import ship
 
+#: Bracket pieces, and the measures that part body from raised type, words, cells, columns and lines.
 BRACKETS_OPEN, BRACKETS_CLOSE = set("⎡⎛⎧"), set("⎣⎝⎩")
 PIECES = set("⎡⎢⎣⎤⎥⎦⎛⎜⎝⎞⎟⎠⎧⎨⎩⎪⎫⎬⎭")
 SMALL, SHIFT, WORD_GAP, CELL_GAP, COLUMN_GAP, MERGE = 0.85, 1.5, 0.18, 0.9, 4.0, 0.6
@@ -180,30 +182,60 @@ def render_page(lines: list[list[tuple]], body: float | None = None) -> str:
     return "\n".join(out)
 
 
+def _plain(line: np.ndarray, ch: list[str], size: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> str | None:
+    """The text of a page whose lines hold nothing raised, lowered, stacked, blank or to be merged, by its gaps alone; None
+    for any other page."""
+    new = np.r_[True, line[1:] != line[:-1]]
+    starts = np.flatnonzero(new)
+    if (np.diff(size)[~new[1:]] != 0).any() or (np.diff(y)[~new[1:]] != 0).any():
+        return None
+    ly, ls = y[starts], size[starts]
+    if (np.abs(np.diff(ly)) <= MERGE * np.round(ls[:-1] * 2) / 2).any():
+        return None
+    if not PIECES.isdisjoint(ch) or any(not c.strip() for c in set(ch)):
+        return None
+    gap = np.r_[0.0, x0[1:] - x1[:-1]]
+    parted = np.where(new | (gap > COLUMN_GAP * size), 2, np.where(gap > WORD_GAP * np.round(size * 2) / 2, 1, 0)).tolist()
+    parted[0] = 0
+    return "".join([("", " ", "\n")[p] + c for p, c in zip(parted, ch)])
+
+
 def _pages(batches: Iterator[pa.RecordBatch], body: float | None) -> Iterator[pa.RecordBatch]:
-    at, lines, line_no = None, [], None
     for b in batches:
-        docs, pages, texts = [], [], []
-        rows = zip(*(b.column(i).to_pylist() for i in range(9)))
-        for doc, page, line, _seq, ch, size, y, x0, x1 in rows:
-            if (doc, page) != at:
-                if at is not None:
-                    docs.append(at[0]), pages.append(at[1]), texts.append(render_page(lines, body))
-                at, lines, line_no = (doc, page), [], None
-            if line != line_no:
-                lines.append([])
-                line_no = line
-            lines[-1].append((ch, size, y, x0, x1))
+        docs, pages, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+        at = b.column(2).offsets.to_numpy()
+        g = b.column(2).values
+        line, size, y, x0, x1 = (g.field(k).to_numpy(zero_copy_only=False) for k in ("line_no", "size", "origin_y", "bbox_x0", "bbox_x1"))
+        ch = g.field("ch").to_pylist()
+        for i, j in zip(at[:-1], at[1:]):
+            t = _plain(line[i:j], ch[i:j], size[i:j], y[i:j], x0[i:j], x1[i:j]) if j > i else ""
+            if t is None:
+                lines: list[list[tuple]] = []
+                for k in range(i, j):
+                    if k == i or line[k] != line[k - 1]:
+                        lines.append([])
+                    lines[-1].append((ch[k], float(size[k]), float(y[k]), float(x0[k]), float(x1[k])))
+                t = render_page(lines, body)
+            texts.append(t)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pages, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "page_no", "text"])
-    if at is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([render_page(lines, body)], pa.string())], ["doc_id", "page_no", "text"])
 
 
 def render(glyphs: DataFrame, body: float | None = None) -> DataFrame:
     """(doc_id, page_no, text) from glyphs (doc_id long, page_no int, line_no int, seq int, ch, size, origin_y, bbox_x0, bbox_x1).
 
-    One shuffle by page; a task holds one page at a time. Glyphs of null place or sign are dropped.
+    The glyphs of a page are gathered where they lie before the one shuffle, so that a page's row moves, not its glyphs;
+    a page is what one row holds. Glyphs of null place or sign are dropped.
     """
+    from quire.session import arrow_rows
+
     ship(glyphs.sparkSession)
-    g = glyphs.select("doc_id", "page_no", "line_no", "seq", "ch", "size", "origin_y", "bbox_x0", "bbox_x1").dropna()
-    return g.repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "line_no", "seq").mapInArrow(lambda it: _pages(it, body), "doc_id long, page_no int, text string")
+    arrow_rows(glyphs.sparkSession, 200)
+    g = glyphs.select("doc_id", "page_no", F.struct("line_no", "seq", "ch", "size", "origin_y", "bbox_x0", "bbox_x1").alias("g")).where("doc_id is not null and page_no is not null and " + " and ".join(f"g.{c} is not null" for c in ("line_no", "seq", "ch", "size", "origin_y", "bbox_x0", "bbox_x1")))
+    p = g.groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list("g")).alias("g"))
+    return p.mapInArrow(lambda it: _pages(it, body), "doc_id long, page_no int, text string")
+
+
+def assemble(pages: DataFrame, joined: str = "\n\n---\n\n") -> DataFrame:
+    """(doc_id, text): the pages of a document in order, empty ones left out."""
+    p = pages.where("text is not null and trim(text) <> ''").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    return p.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), joined).alias("text"))

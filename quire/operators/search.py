@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import strip_accents
 
-#: Searched attributes by priority.
-ATTRIBUTES = ["title", "author", "description", "isbn"]
+#: Searched attributes by priority, those shown, those of suggestions; the farthest distance of two words.
+ATTRIBUTES = ["title", "author", "description", "isbn", "tags", "publisher"]
+SUGGESTED = ["id", "title"]
+FAR = 8
 
 
 def tokens(c: Column) -> Column:
@@ -35,40 +37,65 @@ def index_filter(filetype: str = "any", language: str = "any", site: str = "any"
     return p
 
 
-def matches(df: DataFrame, query: str, attributes: list[str] = ATTRIBUTES) -> DataFrame:
-    """(id, words, typos, attribute, exact): how each document meets the words of a query.
+def postings(df: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame:
+    """The inverted index (token, id, attribute, positions) of documents with an id; attributes that df lacks are passed over.
 
-    A word meets a token that equals it, or is within its budget of typing errors, or, for the last word, begins with
-    it. Only the query is broadcast, as literals; the documents are read once, with no join, and each is scored where it
-    lies, so a hot token costs nothing extra.
+    Written once (partitioned by a prefix of the token, say), it serves every query; one document of repeated rows counts.
     """
+    have = [(r, a) for r, a in enumerate(attributes) if a in df.columns]
+    kinds = dict(df.dtypes)
+    text = lambda a: F.concat_ws(" ", a) if kinds[a].startswith("array") else F.coalesce(F.col(a).cast("string"), F.lit(""))
+    each = F.array(*[F.struct(F.lit(r).alias("attribute"), tokens(text(a)).alias("t")) for r, a in have])
+    d = df.where("id is not null").dropDuplicates(["id"]).select("id", F.explode(each).alias("x"))
+    t = d.select("id", "x.attribute", F.posexplode("x.t").alias("pos", "token"))
+    return t.groupBy("token", "id", "attribute").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def meeting(distinct: DataFrame, query: str) -> DataFrame:
+    """(token, word, typos): which distinct tokens meet which word of a query. A word meets a token that equals it, is within
+    its budget of typing errors, or, for the last word, begins with it."""
     words = query_words(query)
+    hits = []
+    for i, w in enumerate(words):
+        n = F.when((F.col("token") == w) | (F.col("token").startswith(w) if i == len(words) - 1 else F.lit(False)), 0).otherwise(F.levenshtein("token", F.lit(w), budget(w)))
+        hits.append(F.when(n >= 0, F.struct(F.lit(i).alias("word"), n.alias("typos"))))
+    met = F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.expr("cast(array() as array<struct<word:int,typos:int>>)")
+    return distinct.select("token", F.explode(met).alias("m")).select("token", "m.word", "m.typos")
 
-    def typos(attribute: str, w: str, last: bool) -> Column:
-        """The least typing errors with which a token of an attribute meets the word; null if none does."""
-        far = lambda t: F.levenshtein(t, F.lit(w), budget(w))
-        dist = F.transform(tokens(F.coalesce(F.col(attribute).cast("string"), F.lit(""))), lambda t: F.when((t == w) | (t.startswith(w) if last else F.lit(False)), 0).otherwise(far(t)))
-        return F.array_min(F.filter(dist, lambda x: x >= 0))
-
-    def meets(w: str, last: bool) -> Column:
-        hits = []
-        for rank, a in enumerate(attributes):
-            n = typos(a, w, last)
-            hits.append(F.when(n.isNotNull(), F.struct(n.alias("typos"), F.lit(rank).alias("attribute"))))
-        best = F.array_min(F.filter(F.array(*hits), lambda x: x.isNotNull()))
-        return F.struct(best.alias("h"), F.exists(tokens(F.concat_ws(" ", *attributes)), lambda t: t == w).alias("exact"))
-
-    per_word = [meets(w, i == len(words) - 1) for i, w in enumerate(words)]
-    m = F.array(*per_word)
-    found = F.filter(m, lambda x: x["h"].isNotNull())
-    out = df.select("id", F.size(found).alias("words"), F.aggregate(found, F.lit(0), lambda s, x: s + x["h"]["typos"]).alias("typos"), F.array_min(F.transform(found, lambda x: x["h"]["attribute"])).alias("attribute"), F.size(F.filter(m, lambda x: x["exact"])).alias("exact"))
-    return out.where("words > 0").dropDuplicates(["id"])
-
-
-def search(df: DataFrame, query: str, page: int = 1, limit: int = 20, strategy: str = "all", attributes: list[str] = ATTRIBUTES) -> DataFrame:
-    """A page of hits by words, typos, attribute, exactness and id. 'all' asks for every word, 'last' for at least one."""
-    n = len(query_words(query))
-    m = matches(df, query, attributes)
+
+def matches(df: DataFrame, query: str, attributes: list[str] = ATTRIBUTES, index: DataFrame | None = None) -> DataFrame:
+    """(id, words, typos, proximity, attribute, exact): how each document meets the words of a query.
+
+    The typing errors are weighed once per distinct token, not per document, and the few tokens that meet a word are
+    joined with the index (built here if none is given). `proximity` sums, over the words that follow one another in the
+    query, the least distance of their places in one attribute, at most FAR, also where a word is missing.
+    """
+    from quire.session import materialize
+
+    words = query_words(query)
+    p = index if index is not None else materialize(postings(df, attributes), "postings")
+    met = meeting(p.select("token").distinct(), query)
+    hit = p.join(met, "token")
+    per = hit.groupBy("id", "word").agg(F.min(F.struct("typos", "attribute")).alias("best"), F.max((F.col("token") == F.element_at(F.array(*[F.lit(w) for w in words] or [F.lit("")]), F.col("word") + 1)).cast("int")).alias("exact"), F.collect_list(F.struct("attribute", "positions")).alias("at"))
+    by = per.groupBy("id").agg(F.count("*").cast("int").alias("words"), F.sum("best.typos").cast("int").alias("typos"), F.min("best.attribute").alias("attribute"), F.sum("exact").cast("int").alias("exact"), F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("m"))
+    near = F.lit(0)
+    for i in range(len(words) - 1):
+        a, b = F.try_element_at("m", F.lit(i)), F.try_element_at("m", F.lit(i + 1))
+        gaps = F.flatten(F.transform(a, lambda x: F.flatten(F.transform(F.filter(b, lambda y: y["attribute"] == x["attribute"]), lambda y: F.flatten(F.transform(x["positions"], lambda u: F.transform(y["positions"], lambda v: F.abs(u - v))))))))
+        near = near + F.least(F.lit(FAR), F.coalesce(F.array_min(F.filter(gaps, lambda g: g > 0)), F.lit(FAR)))
+    return by.select("id", "words", "typos", near.cast("int").alias("proximity"), "attribute", "exact")
+
+
+def search(df: DataFrame, query: str, page: int = 1, limit: int = 20, strategy: str = "all", attributes: list[str] = ATTRIBUTES, index: DataFrame | None = None) -> DataFrame:
+    """A page of hits by words, typos, proximity, attribute, exactness and id. 'all' asks for every word, 'last' for at least
+    one. A query without words hits nothing."""
+    m = matches(df, query, attributes, index)
     if strategy == "all":
-        m = m.where(F.col("words") == n)
-    return m.orderBy(F.desc("words"), "typos", "attribute", F.desc("exact"), "id").offset((page - 1) * limit).limit(limit)
+        m = m.where(F.col("words") == len(query_words(query)))
+    return m.orderBy(F.desc("words"), "typos", "proximity", "attribute", F.desc("exact"), "id").offset((page - 1) * limit).limit(limit)
+
+
+def paged(df: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
+    """One page of rows with `total` and `pages` (at least 1) beside them; the totals are one row."""
+    total = df.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("long"))
+    return df.orderBy(*order).offset((page - 1) * limit).limit(limit).join(F.broadcast(total))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import text as tx
 from quire.operators import catalog as ct, limits as lm, stats as st
 from quire.queries import query
+from quire.sources import files as fs
 from quire.sources.tables import table
 
 ASOF = "2024-06-30 00:00:00"
@@ -72,16 +73,20 @@ def vault_text_filter(spark, d):
     return ct.text_filter(_cat(spark, d), "Introducción", ["title", "filename", "author", "isbn", "topic", "edition", "year"]).select("file_hash")
 
 
-@query("SELECT book_id, min(file_hash) AS file_hash, count(*) AS copies FROM conversions GROUP BY book_id HAVING count(*) > 1")
+@query("SELECT book_id, file_hash, title, md5(markdown) AS body FROM conversions WHERE book_id = (SELECT min(book_id) FROM conversions) ORDER BY file_hash LIMIT 1")
 def book_by_id(spark, d):
-    return _cat(spark, d).groupBy("book_id").agg(F.min("file_hash").alias("file_hash"), F.count("*").alias("copies")).where("copies > 1")
+    """The point read of one book: its least hash with the body."""
+    c = table(spark, d, "conversions")
+    one = c.agg(F.min("book_id")).first()[0]
+    return ct.point_read(c.drop("markdown"), c.select("file_hash", "markdown"), book_id=one or "").select("book_id", "file_hash", "title", F.md5("markdown").alias("body"))
 
 
-@query("""SELECT c.file_hash, b.id AS hit_id, md5(c.markdown) AS body FROM conversions c JOIN (SELECT DISTINCT id, replace(isbn, '-', '') AS k FROM book_results WHERE isbn IS NOT NULL) b ON replace(c.isbn, '-', '') = b.k""")
+@query("SELECT file_hash, title, md5(markdown) AS body FROM conversions WHERE file_hash = (SELECT max(file_hash) FROM conversions)")
 def cache_lookup(spark, d):
-    b = table(spark, d, "book_results").where("isbn is not null").select("id", F.replace("isbn", F.lit("-"), F.lit("")).alias("k")).distinct()
-    c = table(spark, d, "conversions").select("file_hash", F.replace("isbn", F.lit("-"), F.lit("")).alias("k"), F.md5("markdown").alias("body"))
-    return c.join(b, "k").select("file_hash", F.col("id").alias("hit_id"), "body")
+    """The point read of one content hash with its body."""
+    c = table(spark, d, "conversions")
+    one = c.agg(F.max("file_hash")).first()[0]
+    return ct.point_read(c.drop("markdown"), c.select("file_hash", "markdown"), one or "").select("file_hash", "title", F.md5("markdown").alias("body"))
 
 
 @query("SELECT count(*) AS files, CAST(sum(strlen(markdown)) AS BIGINT) AS bytes, CAST(sum(file_size) AS BIGINT) AS file_bytes FROM conversions")
@@ -140,9 +145,10 @@ def download_increment(spark, d):
     return ct.add_downloads(c.select("file_hash", "book_id", "download_count"), hits)
 
 
-@query("SELECT file_hash, greatest(accessed_at, created_at, TIMESTAMP '2023-06-01') AS accessed_at FROM conversions")
+@query("SELECT file_hash, CASE WHEN year < 1980 THEN greatest(accessed_at, created_at, TIMESTAMP '2023-06-01') ELSE accessed_at END AS accessed_at FROM conversions")
 def touch_accessed(spark, d):
-    return _cat(spark, d).select("file_hash", F.greatest("accessed_at", "created_at", F.lit("2023-06-01").cast("timestamp_ntz")).alias("accessed_at"))
+    c = _cat(spark, d)
+    return ct.touch(c, c.where("year < 1980").select("file_hash"), F.lit("2023-06-01").cast("timestamp_ntz")).select("file_hash", "accessed_at")
 
 
 @query("""WITH m AS (SELECT DISTINCT ON (k) replace(isbn, '-', '') AS k, 'https://covers.example/' || replace(isbn, '-', '') || '-M.jpg' AS u FROM book_results WHERE isbn IS NOT NULL)
@@ -164,8 +170,8 @@ def schema_evolve(spark, d):
     row_number() OVER (PARTITION BY book_id ORDER BY created_at, file_hash) <= 5 AS within FROM conversions""".replace("\\\\", "\\"))
 def ext_gate(spark, d):
     ext = F.regexp_extract(F.lower("filename"), r"(\.[^.]+)$", 1)
-    n = F.row_number().over(W.partitionBy("book_id").orderBy("created_at", "file_hash"))
-    return _cat(spark, d).select("file_hash", ext.alias("ext"), ext.isin(".pdf", ".epub", ".mobi", ".azw3", ".djvu", ".txt").alias("accepted"), (n <= 5).alias("within"))
+    c = ct.first_files(_cat(spark, d).select("book_id", "created_at", "file_hash", "filename"), "book_id", ["created_at", "file_hash"], 5)
+    return c.select("file_hash", ext.alias("ext"), ext.isin(*fs.SUFFIXES).alias("accepted"), "within")
 
 
 @query("SELECT file_hash, file_size > 0 AND file_size <= 5000000 AS accepted FROM conversions")
@@ -246,15 +252,38 @@ def latency_p95_index(spark, d):
 
 @query("""SELECT role, lvl, lvl >= 2 AS may FROM (SELECT role, CASE lower(trim(role)) WHEN 'superadmin' THEN 4 WHEN 'admin' THEN 3 WHEN 'billing' THEN 2 WHEN 'support' THEN 1 ELSE 0 END AS lvl FROM (SELECT DISTINCT role FROM users))""")
 def role_levels(spark, d):
-    r = F.lower(F.trim("role"))
-    lvl = F.when(r == "superadmin", 4).when(r == "admin", 3).when(r == "billing", 2).when(r == "support", 1).otherwise(0)
+    lvl = ct.role_level(F.col("role"))
     return table(spark, d, "users").select("role").distinct().select("role", lvl.alias("lvl"), (lvl >= 2).alias("may"))
 
 
-@query("""WITH e AS (SELECT uid, max(lower(plan)) AS p FROM users GROUP BY uid) SELECT u.uid, u.email, coalesce(u.phone_number, '') AS phone, e.p AS plan, coalesce(u.conversiones, 0) AS conversiones FROM users u JOIN e USING (uid)""")
+@query("""SELECT uid, CASE WHEN length(uid) % 3 = 0 OR role IS NULL THEN 'plan=' || coalesce(plan, '-') ELSE 'plan=' || coalesce(plan, '-') || ',role=' || role END AS claims FROM users""")
+def role_claims(spark, d):
+    """The role set as a claim beside the others, or cleared for some."""
+    u = table(spark, d, "users")
+    own = F.create_map(F.lit("plan"), F.coalesce("plan", F.lit("-")), F.lit("role"), F.lit("old"))
+    c = ct.set_claim(own, "role", F.when(F.length("uid") % 3 != 0, F.col("role")))
+    return u.select("uid", F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("claims"))
+
+
+@query("""SELECT u.uid, u.email, coalesce(u.phone_number, '') AS phone, coalesce(s.searches, 0) AS searches, s.last_search, coalesce(u.conversiones, 0) AS conversiones FROM users u LEFT JOIN (SELECT uid, count(DISTINCT log_id) AS searches, max(fecha) AS last_search FROM search_log GROUP BY uid) s USING (uid)""")
 def user_view(spark, d):
     u = table(spark, d, "users")
-    return u.select("uid", "email", F.coalesce("phone_number", F.lit("")).alias("phone"), F.lower("plan").alias("plan"), F.coalesce("conversiones", F.lit(0)).alias("conversiones"))
+    s = table(spark, d, "search_log").where("uid is not null").groupBy("uid").agg(F.countDistinct("log_id").alias("searches"), F.max("fecha").alias("last_search"))
+    return u.join(s, "uid", "left").select("uid", "email", F.coalesce("phone_number", F.lit("")).alias("phone"), F.coalesce("searches", F.lit(0)).alias("searches"), "last_search", F.coalesce("conversiones", F.lit(0)).alias("conversiones"))
+
+
+@query("""WITH c AS (SELECT uid, max('mail' || log_id % 7) FILTER (WHERE log_id % 3 = 0) AS email, max(log_id % 90) AS conversiones FROM search_log WHERE uid IS NOT NULL GROUP BY uid) SELECT uid, coalesce(c.email, u.email) AS email, coalesce(c.conversiones, u.conversiones) AS conversiones FROM users u FULL JOIN c USING (uid)""")
+def user_merge(spark, d):
+    i = F.col("log_id")
+    ch = table(spark, d, "search_log").select("uid", F.when(i % 3 == 0, F.concat(F.lit("mail"), (i % 7).cast("string"))).alias("email"), (i % 90).alias("conversiones"))
+    return ct.merge_fields(table(spark, d, "users").select("uid", "email", "conversiones"), ch)
+
+
+@query(f"""WITH p AS (SELECT uid, min(lower(trim(plan))) AS plan FROM users WHERE uid IS NOT NULL GROUP BY uid), r AS (SELECT log_id, r.uid, fecha, plan, CASE plan WHEN 'basic' THEN 50 WHEN 'pro' THEN 200 ELSE 5 END AS top, CASE WHEN plan IN ('basic', 'pro') THEN CAST(fecha AS DATE) END AS day, log_id % 30 + 1 AS n FROM (SELECT DISTINCT log_id, uid, fecha FROM search_log) r LEFT JOIN p USING (uid))
+    SELECT log_id, plan, CAST(least(top, c) - least(top, c - n) AS BIGINT) AS granted FROM (SELECT *, sum(n) OVER (PARTITION BY uid, day ORDER BY fecha, log_id ROWS UNBOUNDED PRECEDING) AS c FROM r)""")
+def quota_by_plan(spark, d):
+    r = table(spark, d, "search_log").select("log_id", "uid", "fecha").distinct().withColumn("n", F.col("log_id") % 30 + 1)
+    return lm.plan_quota(r, table(spark, d, "users"), "uid", "fecha", "log_id", "n").select("log_id", "plan", "granted")
 
 
 @query("""SELECT uid, CASE WHEN n > 100 THEN 'pro' ELSE plan END AS plan, plan AS previous FROM users LEFT JOIN (SELECT uid, count(*) AS n FROM search_log WHERE uid IS NOT NULL GROUP BY uid) USING (uid)""")

@@ -14,6 +14,10 @@ def _docs(spark, d):
     return table(spark, d, "book_results").drop("tags")
 
 
+def _hits(spark, d):
+    return table(spark, d, "book_results").dropDuplicates(["id"])
+
+
 _UNIQ = "(SELECT DISTINCT * EXCLUDE (tags) FROM book_results)"
 
 
@@ -22,42 +26,44 @@ def index_filter(spark, d):
     return _docs(spark, d).where(se.index_filter("pdf", "es")).select("id", "title").distinct()
 
 
-@query(f"SELECT id, title, score FROM {_UNIQ} ORDER BY score DESC NULLS LAST, id LIMIT 20 OFFSET 40")
+@query(f"SELECT id, title, score, (SELECT count(*) FROM {_UNIQ}) AS total, CAST(ceil((SELECT count(*) FROM {_UNIQ}) / 20.0) AS BIGINT) AS pages FROM {_UNIQ} ORDER BY score DESC NULLS LAST, id LIMIT 20 OFFSET 40")
 def search_page(spark, d):
-    t = _docs(spark, d).dropDuplicates(["id"])
-    return t.orderBy(F.desc_nulls_last("score"), "id").offset(40).limit(20).select("id", "title", "score")
+    return se.paged(_hits(spark, d).select("id", "title", "score"), [F.desc_nulls_last("score"), F.col("id")], 3, 20)
+
+
+_ARR = "list_filter(regexp_split_to_array(lower(strip_accents(coalesce({}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')".replace("\\\\", "\\")
+_HAVE = [(r, a) for r, a in enumerate(se.ATTRIBUTES) if a != "publisher"]
+_TOKENS = "(" + " UNION ALL ".join(f"SELECT id, {r} AS attribute, unnest({_ARR.format('array_to_string(tags, chr(32))' if a == 'tags' else a)}) AS token, generate_subscripts({_ARR.format('array_to_string(tags, chr(32))' if a == 'tags' else a)}, 1) AS pos FROM (SELECT DISTINCT * FROM book_results)" for r, a in _HAVE) + ")"
 
 
 def _match_sql(q: str) -> str:
     words = se.query_words(q)
-    arr = lambda a: f"list_filter(regexp_split_to_array(lower(strip_accents(coalesce({a}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
-    hits, exact = [], []
-    for i, w in enumerate(words):
-        pre = f"WHEN starts_with(t, '{w}') THEN 0 " if i == len(words) - 1 else ""
-        per = [f"(SELECT CASE WHEN m <= {se.budget(w)} THEN struct_pack(typos := m, attribute := {r}) END FROM (SELECT list_min(list_transform({arr(a)}, lambda t: CASE WHEN t = '{w}' THEN 0 {pre}ELSE levenshtein(t, '{w}') END)) AS m))" for r, a in enumerate(se.ATTRIBUTES)]
-        hits.append(f"list_min(list_filter([{', '.join(per)}], lambda x: x IS NOT NULL))")
-        alltok = arr("concat_ws(' ', " + ", ".join(se.ATTRIBUTES) + ")")
-        exact.append(f"CAST(list_contains({alltok}, '{w}') AS INT)")
-    return f"""(SELECT id, len(h) AS words, list_sum(list_transform(h, lambda x: x.typos)) AS typos, list_min(list_transform(h, lambda x: x.attribute)) AS attribute, exact
-        FROM (SELECT id, list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL) AS h, {' + '.join(exact)} AS exact FROM {_UNIQ}) WHERE len(h) > 0)"""
+    met = " UNION ALL ".join(
+        f"SELECT *, {i} AS word, token = '{w}' AS same, CASE WHEN token = '{w}'" + (f" OR starts_with(token, '{w}')" if i == len(words) - 1 else "") + f" THEN 0 ELSE levenshtein(token, '{w}') END AS typos FROM t WHERE token = '{w}'" + (f" OR starts_with(token, '{w}')" if i == len(words) - 1 else "") + f" OR levenshtein(token, '{w}') <= {se.budget(w)}"
+        for i, w in enumerate(words)
+    )
+    near = " + ".join(f"least({se.FAR}, coalesce((SELECT min(abs(a.pos - b.pos)) FROM m a JOIN m b ON a.id = b.id AND a.attribute = b.attribute AND a.pos <> b.pos WHERE a.id = p.id AND a.word = {i} AND b.word = {i + 1}), {se.FAR}))" for i in range(len(words) - 1)) or "0"
+    return f"""(WITH t AS (SELECT * FROM {_TOKENS}), m AS ({met}), p AS (SELECT id, word, min(typos) AS typos, min(attribute) FILTER (WHERE typos = b) AS attribute, max(CAST(same AS INT)) AS exact FROM (SELECT *, min(typos) OVER (PARTITION BY id, word) AS b FROM m) GROUP BY id, word),
+        g AS (SELECT id, CAST(count(*) AS INT) AS words, CAST(sum(typos) AS INT) AS typos, CAST(min(attribute) AS INT) AS attribute, CAST(sum(exact) AS INT) AS exact FROM p GROUP BY id) SELECT id, words, typos, CAST({near} AS INT) AS proximity, attribute, exact FROM g p)"""
 
 
-_SEL = "SELECT id, CAST(words AS INT) AS words, CAST(typos AS INT) AS typos, CAST(attribute AS INT) AS attribute, CAST(exact AS INT) AS exact FROM"
+_RANK = "ORDER BY words DESC, typos, proximity, attribute, exact DESC, id"
 
 
-@query(f"{_SEL} {_match_sql('lecciones sobre la')} WHERE words = 3 ORDER BY words DESC, typos, attribute, exact DESC, id LIMIT 50")
+@query(f"SELECT * FROM {_match_sql('lecciones sobre la')} WHERE words = 3 {_RANK} LIMIT 50")
 def search_rank(spark, d):
-    return se.search(_docs(spark, d), "lecciones sobre la", limit=50)
+    return se.search(_hits(spark, d), "lecciones sobre la", limit=50)
 
 
-@query(f"{_SEL} {_match_sql('leciones introductoin')}")
+@query(f"SELECT * FROM {_match_sql('leciones introductoin')}")
 def search_typo(spark, d):
-    return se.matches(_docs(spark, d), "leciones introductoin").select("id", "words", "typos", "attribute", "exact")
+    return se.matches(_hits(spark, d), "leciones introductoin")
 
 
-@query(f"{_SEL} {_match_sql('introduction zzzz')} ORDER BY words DESC, typos, attribute, exact DESC, id LIMIT 5")
+@query(f"SELECT s.id, title FROM {_match_sql('introduction zzzz')} s JOIN (SELECT DISTINCT id, title FROM book_results) USING (id) {_RANK} LIMIT 5")
 def search_suggest(spark, d):
-    return se.search(_docs(spark, d), "introduction zzzz", limit=5, strategy="last")
+    hits = se.search(_hits(spark, d), "introduction zzzz", limit=5, strategy="last")
+    return hits.join(_hits(spark, d).select(*se.SUGGESTED), "id").select(*se.SUGGESTED)
 
 
 @query(f"SELECT DISTINCT id, 'local' AS origin FROM {_UNIQ} WHERE title ILIKE '%handbook%' UNION ALL SELECT file_hash, 'catalogue' FROM conversions WHERE title ILIKE '%handbook%' AND NOT EXISTS (SELECT 1 FROM {_UNIQ} b WHERE b.title ILIKE '%handbook%' AND replace(b.isbn, '-', '') = replace(conversions.isbn, '-', ''))")
@@ -80,18 +86,21 @@ def filter_count(spark, d):
     return _docs(spark, d).select("id", (b(F.col("filetype") != "any") + b(F.col("language") != "any") + b(F.col("year").isNotNull()) + b(F.coalesce("source_site", F.lit("")) != "")).alias("active")).distinct()
 
 
-@query(f"""SELECT DISTINCT id, regexp_replace(title, '(?i)(sobre|introduction)', '<mark>\\1</mark>', 'g') AS title, array_to_string(list_slice(string_split(description, ' '), 1, 20), ' ') AS crop FROM {_UNIQ} WHERE title IS NOT NULL""")
+_W = ["sobre", "introduction", "la"]
+_MARKED = "regexp_replace({}, '(^|[^\\p{{L}}\\p{{N}}])(introduction|sobre|la)', '\\1<mark>\\2</mark>', 'gi')".replace("\\\\", "\\")
+
+
+@query(f"""SELECT DISTINCT id, {_MARKED.format('title')} AS title, {_MARKED.format('author')} AS author, {_MARKED.format("array_to_string(list_slice(ws, s, s + 11), ' ')")} AS description FROM (SELECT *, greatest(1, least(CASE WHEN at_ > 0 THEN at_ ELSE 1 END - 6, len(ws) - 11)) AS s FROM (SELECT id, title, author, string_split(description, ' ') AS ws,
+    CASE WHEN regexp_matches(description, '(?i)(^|[^\\p{{L}}\\p{{N}}])(?:sobre|introduction|la)') THEN len(string_split(regexp_extract(description, '(?is)^(.*?)(?:^|[^\\p{{L}}\\p{{N}}])(?:sobre|introduction|la)', 1) || CASE WHEN regexp_matches(description, '(?i)^(?:sobre|introduction|la)') THEN '' ELSE regexp_extract(description, '(?is)^.*?([^\\p{{L}}\\p{{N}}])(?:sobre|introduction|la)', 1) END, ' ')) ELSE 0 END AS at_ FROM {_UNIQ}))""".replace("\\\\", "\\"))
 def highlight(spark, d):
-    t = _docs(spark, d).where("title is not null")
-    return t.select("id", F.regexp_replace("title", "(?i)(sobre|introduction)", "<mark>$1</mark>").alias("title"), F.array_join(F.slice(F.split("description", " "), 1, 20), " ").alias("crop")).distinct()
+    """Words of a query marked in what is shown, the description cropped to a few tokens about the first hit."""
+    t = _docs(spark, d)
+    return t.select("id", tx.highlight(F.col("title"), _W).alias("title"), tx.highlight(F.col("author"), _W).alias("author"), tx.highlight(tx.crop(F.col("description"), _W, 12), _W).alias("description")).distinct()
 
 
-@query(f"""SELECT DISTINCT id, replace(replace(replace(replace(replace('<b>' || title || ' & <mark>x</mark>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&lt;mark&gt;', '<mark>'), '&lt;/mark&gt;', '</mark>') AS title FROM {_UNIQ} WHERE title IS NOT NULL""")
+@query(f"""SELECT DISTINCT id, replace(replace(replace(replace(replace('<b>' || title || ' & <mark>x</mark>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&lt;mark&gt;', '<mark>'), '&lt;/mark&gt;', '</mark>') AS title FROM {_UNIQ}""")
 def escape_highlight(spark, d):
-    c = F.concat(F.lit("<b>"), "title", F.lit(" & <mark>x</mark>"))
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("&lt;mark&gt;", "<mark>"), ("&lt;/mark&gt;", "</mark>")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return _docs(spark, d).where("title is not null").select("id", c.alias("title")).distinct()
+    return _docs(spark, d).select("id", tx.escape_marked(F.concat(F.lit("<b>"), "title", F.lit(" & <mark>x</mark>"))).alias("title")).distinct()
 
 
 @query(r"SELECT DISTINCT log_id, trim(regexp_replace(regexp_replace(consulta, '[^\p{L}\p{N}_\s.,:;''\x22()-]', ' ', 'g'), '\s+', ' ', 'g')) AS q FROM search_log WHERE consulta IS NOT NULL")
@@ -99,9 +108,9 @@ def sanitize_query(spark, d):
     return table(spark, d, "search_log").where("consulta is not null").select("log_id", tx.sanitize_query(F.col("consulta")).alias("q")).distinct()
 
 
-@query("SELECT DISTINCT id, translate('<' || title || '>|^`', '<>{}|\\^`', '') AS title FROM " + _UNIQ + " WHERE title IS NOT NULL")
+@query("SELECT DISTINCT id, translate('<' || title || '>|^`', '<>{}|\\^`', '') AS title FROM " + _UNIQ)
 def sanitize_doc(spark, d):
-    return _docs(spark, d).where("title is not null").select("id", tx.sanitize_doc(F.concat(F.lit("<"), "title", F.lit(">|^`"))).alias("title")).distinct()
+    return _docs(spark, d).select("id", tx.sanitize_doc(F.concat(F.lit("<"), "title", F.lit(">|^`"))).alias("title")).distinct()
 
 
 @query("SELECT DISTINCT id, CASE WHEN length(s) IN (10, 13, 17) THEN s END AS isbn FROM (SELECT id, regexp_replace(isbn, '[^0-9Xx-]', '', 'g') AS s FROM book_results)")
@@ -167,9 +176,9 @@ _SITE_FT = _byft("CASE WHEN trim(filetype) <> '' THEN nullif(filetype, 'any') EL
 
 
 @query(f"""SELECT id, q AS raw_query, {_URL} AS google_url FROM (SELECT DISTINCT id, CASE WHEN trim(isbn) <> '' THEN {_ISBN} WHEN {_ST} IS NOT NULL THEN {_SITE_FT}
-    WHEN {_FT} <> 'pdf' THEN {_byft(_FT, 'NULL')} ELSE {_DIRECT} END AS q FROM {_UNIQ} WHERE title IS NOT NULL)""")
+    WHEN {_FT} <> 'pdf' THEN {_byft(_FT, 'NULL')} ELSE {_DIRECT} END AS q FROM (SELECT * REPLACE (coalesce(title, '') AS title) FROM {_UNIQ}))""")
 def dork_primary(spark, d):
-    t = _docs(spark, d).where("title is not null")
+    t = _docs(spark, d).withColumn("title", F.coalesce("title", F.lit("")))
     p = dk.primary(*[F.col(c) for c in ("title", "author", "isbn", "filetype", "source_site")])
     return t.select("id", p.alias("p")).select("id", "p.raw_query", "p.google_url").distinct()
 
@@ -185,8 +194,18 @@ _ALL = [
 ]
 
 
-@query(f"SELECT id, strategy, q AS raw_query, {_URL} AS google_url FROM (" + " UNION ALL ".join(f"SELECT DISTINCT id, '{n}' AS strategy, {s} AS q FROM {_UNIQ} WHERE title IS NOT NULL" for n, s in _ALL) + f" UNION ALL SELECT DISTINCT id, 'isbn', {_ISBN} FROM {_UNIQ} WHERE title IS NOT NULL AND trim(isbn) <> '')")
+@query(f"SELECT id, strategy, q AS raw_query, {_URL} AS google_url FROM (" + " UNION ALL ".join(f"SELECT DISTINCT id, '{n}' AS strategy, {s} AS q FROM (SELECT * REPLACE (coalesce(title, '') AS title) FROM {_UNIQ})" for n, s in _ALL) + f" UNION ALL SELECT DISTINCT id, 'isbn', {_ISBN} FROM {_UNIQ} WHERE trim(isbn) <> '')")
 def dork_all(spark, d):
-    t = _docs(spark, d).where("title is not null").distinct()
+    t = _docs(spark, d).withColumn("title", F.coalesce("title", F.lit(""))).distinct()
     p = dk.every(*[F.col(c) for c in ("title", "author", "isbn", "filetype", "source_site")])
     return t.select("id", F.explode(p).alias("p")).select("id", "p.strategy", "p.raw_query", "p.google_url")
+
+
+_CLIENT = "'https://www.google.com/search?q=' || replace(replace(replace(replace(replace(replace(replace(replace(url_encode(q), '+', '%20'), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*'), '%7E', '~'), '%2B', '%2B')"
+
+
+@query(rf"""SELECT id, {_CLIENT} AS url, {_CLIENT.replace('url_encode(q)', 'url_encode(r)')} AS alternative FROM (SELECT DISTINCT id, '"' || replace(coalesce(title, ''), '"', '') || '" filetype:' || ft || coalesce(' ' || last_, '') AS q, '"' || replace(coalesce(title, ''), '"', '') || '" ' || ft || coalesce(' ' || last_, '') AS r FROM (SELECT id, title, coalesce(CASE WHEN filetype <> '' AND filetype <> 'any' THEN filetype END, 'pdf') AS ft, CASE WHEN length(w[-1]) > 2 THEN w[-1] END AS last_ FROM (SELECT *, regexp_split_to_array(trim(replace(author, '"', '')), '\s+') AS w FROM {_UNIQ})))""")
+def client_links(spark, d):
+    t = _docs(spark, d)
+    one, two = dk.client(F.col("title"), F.col("author"), F.col("filetype"))
+    return t.select("id", one.alias("url"), two.alias("alternative")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx, unicode as un
-from quire.operators import stats as st
+from quire.operators import catalog as ct, fidelity as fd, stats as st
 from quire.queries import query
 from quire.sources.tables import table
 
@@ -28,12 +28,17 @@ KEYWORDS = {
 CODE = [r"\bdef \w+\(", r"\breturn\b", r"\bselect \w+", r"const \w+ ="]
 STOP = {"es": ["el", "los", "una", "por", "con"], "en": ["the", "of", "and", "with", "for"], "fr": ["le", "les", "une", "dans", "est"], "de": ["der", "und", "mit", "nicht", "auf"], "pt": ["os", "uma", "não", "com", "mais"], "it": ["il", "gli", "che", "della", "più"]}
 
-_VARIANT = """(SELECT *, ascii(substr(file_hash, 1, 1)) % 4 AS k FROM conversions WHERE title IS NOT NULL AND author IS NOT NULL)"""
+_VARIANT = """(SELECT *, ascii(substr(file_hash, 1, 1)) % 4 AS k FROM (SELECT * REPLACE (coalesce(title, '') AS title, coalesce(author, '') AS author) FROM conversions))"""
 _FILENAME = """CASE k WHEN 0 THEN title || ' 2nd Edition (1999) [' || author || '].pdf' WHEN 1 THEN title || ' - ' || author || '.epub' WHEN 2 THEN title || '___' || author || '.pdf' ELSE title || ' by ' || author || ' [2003].txt' END"""
 
 
+def _named(spark, d):
+    """Conversions with an empty title or author for a missing one."""
+    return table(spark, d, "conversions").withColumns({"title": F.coalesce("title", F.lit("")), "author": F.coalesce("author", F.lit(""))})
+
+
 def _variants(spark, d):
-    c = table(spark, d, "conversions").where("title is not null and author is not null")
+    c = _named(spark, d)
     k = F.ascii(F.substring("file_hash", 1, 1)) % 4
     name = F.when(k == 0, F.concat("title", F.lit(" 2nd Edition (1999) ["), "author", F.lit("].pdf"))).when(k == 1, F.concat("title", F.lit(" - "), "author", F.lit(".epub"))).when(k == 2, F.concat("title", F.lit("___"), "author", F.lit(".pdf"))).otherwise(F.concat("title", F.lit(" by "), "author", F.lit(" [2003].txt")))
     return c.select("file_hash", "markdown", name.alias("filename"))
@@ -101,15 +106,44 @@ def edition_extract(spark, d):
     return table(spark, d, "conversions").select("file_hash", tx.edition_extract(F.col("filename"), F.col("markdown")).alias("edition"))
 
 
-def _a(p: str) -> str:
-    return f"nullif(trim(regexp_replace(regexp_extract(s, '{p}', 1), '_', ' ', 'g')), '')"
+_SKIP = ", ".join(f"'{w}'" for w in tx.SKIP)
+_SITES = ", ".join(f"'{w}'" for w in tx.SITES)
+
+
+def _named_sql(x: str) -> str:
+    w = rf"list_filter(regexp_split_to_array(trim({x}), '\s+'), lambda w: regexp_matches(w, '^\p{{L}}'))"
+    return rf"(len({w}) BETWEEN 1 AND 5 AND len(list_filter({w}, lambda w: NOT regexp_matches(w, '^\p{{Lu}}') OR lower(w) IN ({_SKIP}))) = 0)"
 
 
-@query(rf"""SELECT file_hash, coalesce({_a(r'\[(\p{Lu}[^\]\[]* [^\]\[]+)\]$')}, {_a(r' - (\p{Lu}[\p{L}.]+(?: \p{Lu}[\p{L}.]*){0,4})$')}, {_a(r'___([^_].*)$')}, {_a(r'(?i)\bby ([^\[]+?)(?: \[|$)')}) AS author FROM (SELECT file_hash, {STEM} AS s FROM {VAR})""")
+def _author_sql(src: str) -> str:
+    """file_hash and author from (file_hash, raw), the stem of a file name."""
+    last = "trim(replace(string_split(raw, '___')[-1], '_', ' '))"
+    return rf"""(SELECT file_hash, coalesce(CASE WHEN length(sign) > 4 AND len(list_filter(regexp_split_to_array(sign, '\s+'), lambda w: lower(w) IN ({_SITES}, {_SKIP}))) = 0 THEN sign END,
+        CASE WHEN contains(s, ' - ') THEN list_filter(list_transform(list_reverse(string_split(s, ' - ')), lambda x: trim(x)), lambda x: {_named_sql('x')})[1] END,
+        CASE WHEN contains(raw, '___') AND {_named_sql(last)} THEN array_to_string(list_filter(regexp_split_to_array({last}, '\s+'), lambda w: regexp_matches(w, '^\p{{L}}')), ' ') END, CASE WHEN length(by_) > 4 THEN by_ END) AS author
+        FROM (SELECT *, trim(regexp_extract(raw, '\[([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){{0,4}})\]\s*$', 1)) AS sign, trim(regexp_extract(s, '(?i)\bby\s+([A-Z][a-zA-Z]+(?:[ \t]+[A-Z][a-zA-Z]+){{0,4}})\s*[\[\s]', 1)) AS by_ FROM (SELECT *, replace(raw, '_', ' ') AS s FROM {src})))"""
+
+
+@query(f"SELECT * FROM {_author_sql(f'(SELECT file_hash, {STEM} AS raw FROM {VAR})')}")
 def author_from_name(spark, d):
     return _variants(spark, d).select("file_hash", tx.author_from_name(F.col("filename")).alias("author"))
 
 
+_TW = ", ".join(f"'{w}'" for w in [*tx.SKIP, *tx.TITLE_WORDS])
+_BW = ", ".join(f"'{w}'" for w in tx.BETWEEN)
+_SHAPE = rf"""len(w) BETWEEN 2 AND 5 AND x <> upper(x) AND len(list_filter(w, lambda v: lower(v) NOT IN ({_BW}))) > 0 AND len(list_filter(w, lambda v: NOT regexp_matches(v, '^[A-Za-z][a-zA-Z'']*\.?$'))) = 0
+    AND len(list_filter(w, lambda v: lower(v) NOT IN ({_BW}) AND (NOT regexp_matches(v, '^[A-Z]') OR regexp_matches(v, '^[A-Z]{{3,}}\.?$')))) = 0 AND len(list_filter(w, lambda v: lower(v) IN ({_TW}))) = 0 AND len(list_filter(w, lambda v: lower(v) NOT IN ({_BW}) AND length(v) > 3)) > 0"""
+
+
+@query(rf"""WITH l AS (SELECT file_hash, i, trim(regexp_split_to_array(trim(ls[i]), ',\s*[A-Z]{{2,}}')[1]) AS x FROM (SELECT file_hash, string_split(substr(string_split(markdown, E'
+---')[1], 1, 600), chr(10)) AS ls FROM conversions), unnest(range(1, len(ls) + 1)) AS u(i) WHERE trim(ls[i]) <> ''),
+    n AS (SELECT file_hash, arg_max(x, i) AS author FROM (SELECT *, regexp_split_to_array(x, '\s+') AS w FROM l) WHERE {_SHAPE} GROUP BY 1) SELECT file_hash, n.author FROM conversions LEFT JOIN n USING (file_hash)""")
+def author_from_cover(spark, d):
+    """The cover scan alone: the texts of this table name no author in a line of their own."""
+    c = table(spark, d, "conversions")
+    return c.select("file_hash", tx.author_from_text(F.col("markdown")).alias("author"))
+
+
 def _topic_sql(title: str = "title", text: str = "markdown") -> str:
     h = f"repeat(lower(coalesce({title}, '')) || ' ', 8) || lower(substr({text}, 1, 200)) || ' ' || lower(substr({text}, 501, 6200))"
     n = lambda w: f"CAST((length(h) - length(replace(h, '{w}', ''))) / {len(w)} AS INT)"
@@ -136,20 +170,26 @@ def classify_topic(spark, d):
 
 @query(f"SELECT count(*) AS checked, count(*) FILTER (WHERE t IS DISTINCT FROM topic) AS updated FROM (SELECT topic, {_TOPIC} AS t FROM {_topic_sql()})")
 def reclassify(spark, d):
-    c = table(spark, d, "conversions").select("topic", _topic().alias("t"))
-    return c.agg(F.count("*").alias("checked"), F.count_if(~F.col("t").eqNullSafe(F.col("topic"))).alias("updated"))
+    c = ct.reclassify(table(spark, d, "conversions"), _topic())
+    return c.agg(F.count("*").alias("checked"), F.count_if("updated").alias("updated"))
+
+
+@query(f"""SELECT file_hash, t AS topic, CASE WHEN t IS DISTINCT FROM topic THEN concat_ws('-', coalesce(CASE WHEN trim(isbn) <> '' THEN isbn END, substr(file_hash, 1, 8)), lower(substr(coalesce(CASE WHEN trim(language) <> '' THEN language END, 'und'), 1, 5)), substr(regexp_replace(lower(t), '[^a-z0-9]', '', 'g'), 1, 15)) ELSE book_id END AS book_id, t IS DISTINCT FROM topic AS updated FROM (SELECT *, {_TOPIC} AS t FROM {_topic_sql()})""")
+def reclassified(spark, d):
+    return ct.reclassify(table(spark, d, "conversions"), _topic()).select("file_hash", "topic", "book_id", "updated")
+
 
+_AGAIN = rf"(SELECT file_hash, regexp_replace(CASE WHEN k < 2 THEN title || '.pdf' ELSE title || '___' || author || '.pdf' END, '(.)\.[^.]*$', '\1') AS raw FROM {_VARIANT})"
 
-@query(rf"""SELECT file_hash, CASE WHEN found IS NOT NULL THEN found WHEN author = upper(author) OR contains(author, chr(10)) THEN NULL ELSE author END AS author FROM
-    (SELECT f.file_hash, f.author, coalesce({_a(r'\[(\p{Lu}[^\]\[]* [^\]\[]+)\]$')}, {_a(r'___([^_].*)$')}) AS found FROM (SELECT file_hash, author, {STEM} AS s FROM (SELECT file_hash, author, CASE WHEN k < 2 THEN title || '.pdf' ELSE title || '___' || author || '.pdf' END AS filename FROM {_VARIANT})) f)""")
+
+@query(f"""SELECT file_hash, CASE WHEN a.author IS NOT NULL THEN a.author WHEN c.author = upper(c.author) OR contains(c.author, chr(10)) THEN NULL ELSE c.author END AS author FROM {_author_sql(_AGAIN)} a JOIN conversions c USING (file_hash)""")
 def reextract(spark, d):
-    c = table(spark, d, "conversions").where("title is not null and author is not null")
+    c = _named(spark, d)
     k = F.ascii(F.substring("file_hash", 1, 1)) % 4
-    s = tx.stem(F.when(k < 2, F.concat("title", F.lit(".pdf"))).otherwise(F.concat("title", F.lit("___"), "author", F.lit(".pdf"))))
-    get = lambda p: tx.blank_to_null(F.trim(F.regexp_replace(F.regexp_extract(s, p, 1), "_", " ")))
-    found = F.coalesce(get(r"\[(\p{Lu}[^\]\[]* [^\]\[]+)\]$"), get(r"___([^_].*)$"))
-    shouted = (F.col("author") == F.upper("author")) | F.contains("author", F.lit("\n"))
-    return c.select("file_hash", F.when(found.isNotNull(), found).when(shouted, F.lit(None)).otherwise(F.col("author")).alias("author"))
+    found = tx.author_from_name(F.when(k < 2, F.concat("title", F.lit(".pdf"))).otherwise(F.concat("title", F.lit("___"), "author", F.lit(".pdf"))))
+    own = table(spark, d, "conversions").select("file_hash", F.col("author").alias("stored"))
+    shouted = (F.col("stored") == F.upper("stored")) | F.contains("stored", F.lit("\n"))
+    return c.select("file_hash", found.alias("found")).join(own, "file_hash").select("file_hash", F.when(F.col("found").isNotNull(), F.col("found")).when(shouted, F.lit(None)).otherwise(F.col("stored")).alias("author"))
 
 
 @query(r"SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(list_filter(regexp_split_to_array(text, '[\s\x{85}\x{A0}\x{2028}\x{2029}\x0B]+'), lambda w: w <> '')) AS BIGINT) AS words FROM documents")
@@ -205,22 +245,23 @@ query(_changed(WS.format(x="markdown")), "ws_collapse")(lambda s, d: _digest(s,
 
 
 def _scripts_sql(x: str) -> str:
-    # a private mark around each run, then a rule for runs of one and of more
-    for chars, mark in ((tx.SUPER, "^"), (tx.SUB, "_")):
-        x = f"regexp_replace({x}, '([{chars}]{{2,}})', '{mark}{{\\1}}', 'g')"
+    # braces round runs and wide signs, a bare mark before the others, then the signs as they are on the line
+    for chars, plain, mark in ((tx.SUPER, tx.SUPER_PLAIN, "^"), (tx.SUB, tx.SUB_PLAIN, "_")):
+        wide = "".join(c for c in tx.WIDE if c in chars)
+        x = f"regexp_replace({x}, '([{chars}]{{2,}}|[{wide}])', '{mark}{{\\1}}', 'g')"
         x = f"regexp_replace({x}, '([^{{{chars}]|^)([{chars}])([^{chars}}}]|$)', '\\1{mark}\\2\\3', 'g')"
-        x = f"translate({x}, '{chars}', '{tx.PLAIN}')"
+        x = f"translate({x}, '{chars}', '{plain}')"
     return x
 
 
-@query(f"SELECT file_hash, {_scripts_sql('s')} AS t FROM (SELECT file_hash, coalesce(title, '') || ' x² + y₁₀ = H₂O, 10⁻³ m' AS s FROM conversions)")
+@query(f"SELECT file_hash, {_scripts_sql('s')} AS t FROM (SELECT file_hash, coalesce(title, '') || ' x² + y₁₀ = H₂O, 10⁻³ m, aⁿ⁺¹ cᵢⱼ kₙ r⁺' AS s FROM conversions)")
 def scripts_digits(spark, d):
-    return table(spark, d, "conversions").select("file_hash", tx.scripts(F.concat(F.coalesce("title", F.lit("")), F.lit(" x² + y₁₀ = H₂O, 10⁻³ m"))).alias("t"))
+    return table(spark, d, "conversions").select("file_hash", tx.scripts(F.concat(F.coalesce("title", F.lit("")), F.lit(" x² + y₁₀ = H₂O, 10⁻³ m, aⁿ⁺¹ cᵢⱼ kₙ r⁺"))).alias("t"))
 
 
 @query("SELECT file_hash, md5(t) AS digest, t <> markdown AS changed FROM (SELECT *, " + WS.format(x=CHARSET.replace("{x}", DEHYPHEN.replace("{x}", _translate_sql(_scripts_sql(_translate_sql("markdown"))))).replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}") + " AS t FROM conversions)")
 def normalize_text(spark, d):
-    return _digest(spark, d, tx.normalize_text)
+    return _digest(spark, d, lambda c: un.normalize(c, plain=True))
 
 
 @query("SELECT ch, count(*) AS n, count(DISTINCT file_hash) AS files FROM (SELECT file_hash, unnest(regexp_extract_all(markdown, '[\\x{80}-\\x{9F}\\x{AD}\\x{200B}-\\x{200F}\\x{FEFF}]')) AS ch FROM conversions) GROUP BY ch".replace("SELECT ch,", "SELECT 'U+' || lpad(upper(to_hex(unicode(ch))), 4, '0') AS code,"))
@@ -262,24 +303,59 @@ def text_qa(spark, d):
     return table(spark, d, "conversions").select("file_hash", n(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]").alias("controls"), n("[ﬀ-ﬆ]").alias("ligatures"), n(r"-[ ]*\n").alias("hyphens"), n(r"(?m)^#{1,6} ").alias("headings"), n(r"\^\{").alias("supers"), n(r"_\{").alias("subs"), n("[Α-ω]").alias("greek"))
 
 
-@query(r"""WITH l AS (SELECT file_hash, unnest(string_split(markdown, chr(10))) AS line FROM conversions), m AS (SELECT file_hash, line FROM l WHERE contains(line, '$')),
-    s AS (SELECT file_hash, count(*) AS total, count(*) FILTER (WHERE len(regexp_extract_all(line, '\{')) <> len(regexp_extract_all(line, '\}'))) AS unbalanced, count(*) FILTER (WHERE regexp_matches(line, '[\^_]\s*\$*$')) AS orphan FROM m GROUP BY 1)
-    SELECT file_hash, total, unbalanced, orphan, round((total - unbalanced) / total, 6) AS validity FROM s""")
+_OK = r"""(SELECT len(st.o) = 0 AND st.ok FROM (SELECT list_reduce(list_prepend(struct_pack(t := '', o := CAST([] AS VARCHAR[]), ok := true), list_transform(regexp_extract_all(f, '(\\(?:begin|end)\{[^}]*\}|\\left|\\right|\\.|[{}])'), lambda t: struct_pack(t := t, o := CAST([] AS VARCHAR[]), ok := true))),
+    lambda a, y: struct_pack(t := '', o := CASE WHEN y.t = '{' THEN list_append(a.o, '}') WHEN y.t = '\left' THEN list_append(a.o, '\right') WHEN starts_with(y.t, '\begin{') THEN list_append(a.o, '\end{' || substr(y.t, 8)) WHEN (y.t = '}' OR y.t = '\right' OR starts_with(y.t, '\end{')) AND a.o[-1] = y.t THEN a.o[:-2] ELSE a.o END,
+    ok := a.ok AND (NOT (y.t = '}' OR y.t = '\right' OR starts_with(y.t, '\end{')) OR coalesce(a.o[-1] = y.t, false)))) AS st))"""
+
+
+@query(rf"""WITH l AS (SELECT file_hash, unnest(string_split(markdown, chr(10))) AS line FROM conversions), m AS (SELECT file_hash, row_number() OVER () AS id, line, {_brace('line')} AS b FROM l WHERE regexp_matches(line, '{fd.MARKED}')),
+    f AS (SELECT id, count(*) FILTER (WHERE NOT ok) AS w FROM (SELECT id, {_OK} AS ok FROM (SELECT id, unnest(regexp_extract_all(line, '\$\$?(.+?)\$\$?', 1)) AS f FROM m)) GROUP BY id),
+    s AS (SELECT file_hash, b.b OR b.d <> 0 AS u, NOT b.b AND b.d BETWEEN 1 AND 3 AS r, regexp_matches(line, '{fd.ORPHAN}') AS o, coalesce(w, 0) AS w FROM m LEFT JOIN f USING (id)),
+    g AS (SELECT file_hash, count(*) AS total, count(*) FILTER (WHERE NOT u AND NOT o AND w = 0) AS valid, count(*) FILTER (WHERE r) AS repaired, count(*) FILTER (WHERE u) AS unbalanced, count(*) FILTER (WHERE o) AS orphan, CAST(sum(w) AS BIGINT) AS latex_errors FROM s GROUP BY 1)
+    SELECT file_hash, coalesce(total, 0) AS total, coalesce(valid, 0) AS valid, coalesce(repaired, 0) AS repaired, coalesce(unbalanced, 0) AS unbalanced, coalesce(orphan, 0) AS orphan, coalesce(latex_errors, 0) AS latex_errors, round(CASE WHEN coalesce(total, 0) = 0 THEN 1 ELSE valid / total END, 6) AS validity FROM conversions LEFT JOIN g USING (file_hash)""")
 def math_validate(spark, d):
-    m = st.line_table(table(spark, d, "conversions"), "file_hash", "markdown").where(F.contains("line", F.lit("$")))
-    odd = F.regexp_count("line", F.lit(r"\{")) != F.regexp_count("line", F.lit(r"\}"))
-    g = m.groupBy("file_hash").agg(F.count("*").alias("total"), F.count_if(odd).alias("unbalanced"), F.count_if(F.col("line").rlike(r"[\^_]\s*\$*$")).alias("orphan"))
-    return g.select("file_hash", "total", "unbalanced", "orphan", F.round((F.col("total") - F.col("unbalanced")) / F.col("total"), 6).alias("validity"))
+    return fd.validate(table(spark, d, "conversions"), "file_hash", "markdown").withColumn("validity", F.round("validity", 6))
+
+
+@query(rf"WITH m AS (SELECT file_hash, unnest(regexp_extract_all(markdown, '\$[^$\n]+\$')) AS f FROM conversions) SELECT file_hash, count(*) AS formulas, count(*) FILTER (WHERE NOT {_OK}) AS broken FROM m GROUP BY 1")
+def latex_check(spark, d):
+    m = table(spark, d, "conversions").select("file_hash", F.explode(F.regexp_extract_all("markdown", F.lit(r"\$[^$\n]+\$"), F.lit(0))).alias("f"))
+    return m.groupBy("file_hash").agg(F.count("*").alias("formulas"), F.count_if(~fd.delimiters_ok(F.col("f"))).alias("broken"))
+
+
+_SIGNS = "list_distinct(list_filter(string_split({x}, ''), lambda c: NOT regexp_full_match(c, '[\\s\\x0B]*')))".replace("\\\\", "\\")
+_FID = rf"""(SELECT doc_id, text AS src, regexp_replace(regexp_replace(text, '[aeiou]([a-z]) ', 'x_\1 ', 'g'), '[0-9]', '', 'g') AS md, n_chars % 40 AS small, CASE WHEN n_chars % 3 > 0 THEN n_chars % 3 / 2.0 END AS val FROM documents)"""
+_FID_PARTS = rf"""SELECT *, {_SIGNS.format(x='src')} AS a, {_SIGNS.format(x='md')} AS b, len(regexp_extract_all(md, '[{fd.BROKEN.replace(chr(92) + "x00", "")}]')) AS bad, len(regexp_extract_all(md, '[\^_](?:\{{[^}}]+\}}|[A-Za-z0-9])')) AS sc FROM {_FID}"""
 
 
-@query(r"""SELECT file_hash, round(len(list_distinct(list_filter(string_split(markdown, ''), lambda c: unicode(c) < 128))) / 128.0, 6) AS coverage, round(1 - least(1.0, len(regexp_extract_all(markdown, '[\x{80}-\x{9F}\x{FFFD}]')) / 20.0), 6) AS clean, regexp_matches(markdown, '(?m)^#{1,6} ') AS headed,
-    round(0.6 * (1 - least(1.0, len(regexp_extract_all(markdown, '[\x{80}-\x{9F}\x{FFFD}]')) / 20.0)) + 0.4 * CASE WHEN regexp_matches(markdown, '(?m)^#{1,6} ') THEN 1 ELSE 0.5 END, 6) AS overall FROM conversions""")
+@query(rf"""SELECT doc_id, round(gc, 6) AS glyph_coverage, round(mo, 6) AS mojibake_score, round(sy, 6) AS symbol_preservation, st AS structure_score, round(su, 6) AS super_sub_detection, va AS equation_validity, round(0.20 * gc + 0.15 * mo + 0.20 * sy + 0.10 * st + 0.25 * su + 0.10 * va, 6) AS overall FROM (
+    SELECT doc_id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 1 END AS gc, CASE WHEN length(md) > 0 THEN greatest(0.0, 1 - bad / greatest(1.0, length(md) / 100)) ELSE 1 END AS mo,
+    CASE WHEN len(list_filter(a, lambda c: contains('{fd.TRACKED}', c))) > 0 THEN len(list_intersect(list_filter(a, lambda c: contains('{fd.TRACKED}', c)), b)) / len(list_filter(a, lambda c: contains('{fd.TRACKED}', c))) ELSE 1 END AS sy,
+    CASE WHEN length(src) > 200 AND NOT regexp_matches(md, '(?m)^#{{1,6}}\s+') THEN 0.5 ELSE 1.0 END AS st, CASE WHEN small >= 3 THEN least(1.0, sc / greatest(1, small // 8)) ELSE 1 END AS su, coalesce(val, 1.0) AS va FROM ({_FID_PARTS}))""")
 def fidelity(spark, d):
-    m = F.col("markdown")
-    clean = 1 - F.least(F.lit(1.0), F.size(F.regexp_extract_all(m, F.lit(r"[\x{80}-\x{9F}\x{FFFD}]"), F.lit(0))) / 20.0)
-    head = m.rlike(r"(?m)^#{1,6} ")
-    cov = F.size(F.array_distinct(F.filter(F.split(m, ""), lambda c: (c != "") & (F.ascii(c) < 128)))) / 128.0
-    return table(spark, d, "conversions").select("file_hash", F.round(cov, 6).alias("coverage"), F.round(clean, 6).alias("clean"), head.alias("headed"), F.round(0.6 * clean + 0.4 * F.when(head, 1.0).otherwise(0.5), 6).alias("overall"))
+    """Texts beside a worsened copy of themselves: digits lost, some letters lowered."""
+    n = F.col("n_chars")
+    md = F.regexp_replace(F.regexp_replace("text", "[aeiou]([a-z]) ", "x_$1 "), "[0-9]", "")
+    t = table(spark, d, "documents").select("doc_id", F.col("text").alias("src"), md.alias("md"), (n % 40).alias("small"), F.when(n % 3 > 0, n % 3 / 2.0).alias("val"))
+    f = fd.fidelity(F.col("src"), F.col("md"), F.col("small"), F.col("val"))
+    return t.select("doc_id", *[F.round(c, 6).alias(k) for k, c in f.items()])
+
+
+_EQ = "[['alpha', 'α'], ['sum', '∑'], ['x'], ['12']]"
+
+
+@query(rf"""SELECT file_hash, round(a, 6) AS text_words, round(b, 6) AS math_symbols, round(c, 6) AS mojibake_free, round(e, 6) AS super_sub, round(f, 6) AS structure, round(g, 6) AS equation_tokens, round(0.15 * a + 0.20 * b + 0.15 * c + 0.30 * e + 0.10 * f + 0.10 * g, 6) AS overall FROM (
+    SELECT file_hash, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(markdown, x))) / len(w) ELSE 1 END AS a, len(list_filter(['∑', '≤', '='], lambda x: contains(markdown, x))) / 3 AS b, greatest(0.0, 1 - len(list_filter(['Ã', 'ﬁ', '¬'], lambda x: contains(markdown, x))) / 3) AS c,
+    (CAST(regexp_matches(markdown, 'de[\s{{]*la') AS INT) + CAST(regexp_matches(markdown, '\^[\s{{]*2') AS INT)) / 2 AS e, greatest(least(1.0, len(list_filter(string_split(markdown, chr(10)), lambda x: starts_with(trim(x), '#'))) / len(h)), len(list_filter(h, lambda x: contains(markdown, x))) / len(h)) AS f,
+    len(list_filter({_EQ}, lambda t: len(list_filter(t, lambda x: contains(markdown, x))) > 0)) / 4 AS g FROM (SELECT file_hash, markdown, list_filter(string_split(coalesce(title, ''), ' '), lambda x: x <> '') AS w, [coalesce(title, 'x'), coalesce(author, 'y')] AS h FROM conversions))""")
+def truth_score(spark, d):
+    """Conversions against what their title and author let expect, and a few signs and formulas."""
+    arr = lambda *x: F.array(*[F.lit(v) for v in x])
+    c = table(spark, d, "conversions")
+    w = F.filter(F.split(F.coalesce("title", F.lit("")), " "), lambda x: x != "")
+    follows = F.array(F.struct(F.lit("de").alias("context"), F.lit("la").alias("next")), F.struct(F.lit("^").alias("context"), F.lit("2").alias("next")))
+    t = fd.truth(F.col("markdown"), w, arr("∑", "≤", "="), arr("Ã", "ﬁ", "¬"), follows, F.array(F.coalesce("title", F.lit("x")), F.coalesce("author", F.lit("y"))), F.array(arr("alpha", "α"), arr("sum", "∑"), arr("x"), arr("12")))
+    return c.select("file_hash", *[F.round(v, 6).alias(k) for k, v in t.items()])
 
 
 _CHARS = "SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE lang = '{}'"
@@ -322,9 +398,7 @@ def stem_density_text(spark, d):
 
 @query("SELECT coalesce(lang, 'none') AS family, ch, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lang, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ALL")
 def char_profile(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("family"), F.explode(st.chars(F.col("text"))).alias("ch"))
-    # counted per document first, so a frequent character shuffles once per document at most
-    return c.groupBy("family", "ch", "doc_id").count().groupBy("family", "ch").agg(F.sum("count").alias("n"), F.count("*").alias("docs"))
+    return st.char_profile(table(spark, d, "documents"), F.coalesce("lang", F.lit("none")), "text")
 
 
 @query("""WITH g AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT n, sum(n) OVER (ORDER BY n DESC, k) AS cum, row_number() OVER (ORDER BY n DESC, k) AS i, sum(n) OVER () AS t FROM g)
@@ -346,13 +420,21 @@ def word_chunks(spark, d):
     return p.groupBy("doc_id", F.least(F.lit(4), F.floor(F.col("i") / F.col("k"))).cast("long").alias("page")).agg(F.count("*").alias("words"))
 
 
-@query("SELECT * FROM (VALUES (1, 'אx'), (2, 'lx'), (3, '1⁄2'), (4, 'fi'), (5, 'φ')) t(i, out)")
+@query("SELECT file_hash, md5(translate(replace(replace(replace(replace(replace(replace(t, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '…', '...'), '½', '1⁄2'), '™', 'TM'), 'ϕ', 'φ'), 'ªº²³¹ℓ' || chr(160), 'ao231l ')) AS digest FROM (SELECT file_hash, regexp_replace(markdown, '[^\\x00-\\x7Eáéíóúüñçãõâêôàèßäöª²³¹º…ﬁﬂ½\\x{A0}А-яёЁ—–«»“”‘’¿¡·]', '', 'g') || ' ℓϕ½ﬁﬂ' AS t FROM conversions)")
 def nfkc(spark, d):
-    df = spark.createDataFrame([(1, "ℵx"), (2, "ℓx"), (3, "½"), (4, "ﬁ"), (5, "ϕ")], "i int, s string")
-    return df.select("i", un.nfkc(F.col("s")).alias("out"))
+    """The compatibility form of all texts, of the characters whose form is said in SQL."""
+    keep = F.regexp_replace("markdown", r"[^\x00-\x7Eáéíóúüñçãõâêôàèßäöª²³¹º…ﬁﬂ½\x{A0}А-яёЁ—–«»“”‘’¿¡·]", "")
+    return table(spark, d, "conversions").select("file_hash", F.md5(un.nfkc(F.concat(keep, F.lit(" ℓϕ½ﬁﬂ")))).alias("digest"))
+
+
+_GARBLED = {"á": "Ã¡", "é": "Ã©", "ó": "Ã³", "ú": "Ãº", "ñ": "Ã±", "ü": "Ã¼", "ö": "Ã¶", "ä": "Ã¤", "ç": "Ã§", "ã": "Ã£", "ê": "Ãª", "ß": "ÃŸ"}
 
 
-@query("SELECT * FROM (VALUES (1, 'café'), (2, 'niño — “x”'), (3, 'plain'), (4, 'NÃO')) t(i, out)")
+@query("SELECT id, t AS out FROM (SELECT DISTINCT id, regexp_replace(title, '[^\\x20-\\x7E" + "".join(_GARBLED) + "]', '', 'g') AS t FROM book_results)")
 def mojibake(spark, d):
-    df = spark.createDataFrame([(1, "cafÃ©"), (2, "niÃ±o â€” â€œxâ€\x9d"), (3, "plain"), (4, "NÃO")], "i int, s string")
-    return df.select("i", un.mojibake(F.col("s")).alias("out"))
+    """Titles garbled by a wrong decoding and repaired."""
+    t = F.regexp_replace("title", r"[^\x20-\x7E" + "".join(_GARBLED) + "]", "")
+    g = t
+    for k, v in _GARBLED.items():
+        g = F.replace(g, F.lit(k), F.lit(v))
+    return table(spark, d, "book_results").select("id", un.mojibake(g).alias("out")).distinct()

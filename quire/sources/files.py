@@ -41,6 +41,19 @@ def load_glyph_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("family", code.alias("codepoint"), "unicode").where("codepoint is not null and unicode is not null and unicode <> ''")
 
 
+def load_supplement(spark: SparkSession, path: str) -> DataFrame:
+    """(name, unicode) from JSON {name: text}: a leading slash of a name is dropped, names and readings that are empty are
+    skipped, a missing file is an empty table."""
+    try:
+        raw = spark.read.option("wholetext", "true").text(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "name string, unicode string")
+    m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "unicode"))
+    return m.select(F.regexp_replace("name", "^/", "").alias("name"), "unicode").where("name <> '' and unicode <> ''")
+
+
 class _Markdown(HTMLParser):
     SKIP = {"script", "style", "head", "nav", "footer", "noscript"}
     HEAD = {f"h{i}": "#" * i + " " for i in range(1, 7)}
