@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,29 +19,76 @@ def dedupe_stream(stream: DataFrame, keys: list[str], time: str, delay: str = "7
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "file_hash", trigger: dict | None = None) -> StreamingQuery:
-    """Upsert each micro-batch into a versioned Parquet catalogue: a batch writes version n + 1 whole, then the marker
-    moves, so a lost executor or a replayed batch changes nothing twice."""
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), lambda *x: spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *x]))
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the written manifests, in order."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at()):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at())]
+    return sorted(int(n[9:]) for n in names if n.startswith("manifest-") and n[9:].isdigit())
+
+
+def _manifest(spark: SparkSession, path: str, n: int | None) -> dict[str, int]:
+    if n is None:
+        return {}
+    return json.loads(spark.sparkContext.wholeTextFiles(f"{path}/manifest-{n}").first()[1])
+
+
+def _leaf(path: str, bucket: str, version: int) -> str:
+    return f"{path}/v{version}/_bucket={bucket}"
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "file_hash", digits: int = 2, trigger: dict | None = None) -> StreamingQuery:
+    """Upsert each micro-batch into a Parquet catalogue that is parted by `digits` hexadecimal digits of the key's digest.
+
+    A batch reads and writes only the parts its keys fall into; the manifest that names the version of every part is
+    written last, so a lost executor or a replayed batch changes nothing twice. Parts that the manifest before the last
+    one alone names are deleted: whoever reads the last one is not disturbed.
+    """
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS")
-        if fs.exists(done):
+        fs, at = _fs(spark, path)
+        known = _manifests(spark, path)
+        if n in known:
             return
-        new = batch.withColumn("download_count", F.lit(0).cast("long")) if "download_count" not in batch.columns else batch
-        out = upsert(spark.read.parquet(f"{path}/v{n - 1}"), new, key) if n else upsert(new.limit(0), new, key)
-        out.write.mode("overwrite").parquet(f"{path}/v{n}")
+        before = [m for m in known if m < n]
+        prev = _manifest(spark, path, before[-1] if before else None)
+        new = batch.where(F.col(key).isNotNull())
+        if "download_count" not in new.columns:
+            new = new.withColumn("download_count", F.lit(0).cast("long"))
+        part = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits)
+        touched = sorted(r[0] for r in new.select(part).distinct().collect())  # at most 16 ** digits
+        if touched:
+            have = [_leaf(path, b, prev[b]) for b in touched if b in prev]
+            old = spark.read.parquet(*have) if have else new.limit(0)
+            upsert(old, new, key).withColumn("_bucket", part).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/v{n}")
+        now = {**prev, **dict.fromkeys(touched, n)}
+        out = fs.create(at(f"manifest-{n}"), True)
+        out.write(bytearray(json.dumps(now, sort_keys=True), "utf-8"))
+        out.close()
+        for m in before[:-1]:
+            gone = _manifest(spark, path, m)
+            for b, v in gone.items():
+                if prev.get(b) != v and now.get(b) != v:
+                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(_leaf(path, b, v)), True)
+            fs.delete(at(f"manifest-{m}"), False)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue's newest whole version."""
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName()[1:]) for s in fs.listStatus(jp) if s.getPath().getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v{max(versions)}")
+def latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The catalogue as the newest manifest names it; an empty one needs a schema."""
+    known = _manifests(spark, path)
+    parts = _manifest(spark, path, known[-1] if known else None)
+    if not parts:
+        return spark.createDataFrame([], schema or "file_hash string")
+    return spark.read.parquet(*[_leaf(path, b, v) for b, v in sorted(parts.items())])
 
 
 def bucket_stream(stream: DataFrame, key: str, event: str, seconds: str, capacity: float = 30.0, rate: float = 0.5, idle_ms: int | None = 3_600_000) -> DataFrame:
@@ -55,7 +103,8 @@ def bucket_stream(stream: DataFrame, key: str, event: str, seconds: str, capacit
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["s", "event"])
+        # a key's rows of one micro-batch, which the source's rate bounds: two numbers each
+        rows = pd.concat([f[["s", "event"]] for f in frames]).sort_values(["s", "event"])
         tokens, last = state.get if state.exists else (capacity, float(rows["s"].iloc[0]))
         out = []
         for e, s in zip(rows["event"], rows["s"]):

@@ -42,12 +42,17 @@ def test_isbn_extract_takes_first_valid(spark):
 def test_clean_title_and_author(spark):
     v = ["The_Book_2nd Edition (1999) [Ada Byron].pdf", "[x].pdf", "", None]
     assert run(spark, tx.clean_title, v) == ["The Book", "[x]", "Unknown", "Unknown"]
-    v = ["The Book [Ada Byron].pdf", "Notes - Ada Byron.epub", "Notes___Ada_Byron.pdf", "Notes by Ada Byron [x].txt", "Notes.pdf", None]
-    assert run(spark, tx.author_from_name, v) == ["Ada Byron", "Ada Byron", "Ada Byron", "Ada Byron", None, None]
+    v = ["The Book [Ada Byron].pdf", "Notes - Ada Byron.epub", "Notes___Ada_Byron.pdf", "Notes by Ada Byron [x].txt", "Notes.pdf", None, "x [Second Edition].pdf", "Ada Byron - some notes.pdf", ""]
+    assert run(spark, tx.author_from_name, v) == ["Ada Byron", "Ada Byron", "Ada Byron", "Ada Byron", None, None, None, "Ada Byron", None]
+    v = ["The Complete Guide\nAda Byron and Kay Long\nLONDON PRESS\n---\nNo Cover Here", "x y z\nWritten by Ada Byron, K. Long\n", "by Ada Byron\nfoo", "nothing at all here", None, "", "Edited by Modern Practice\n"]
+    assert run(spark, tx.author_from_text, v) == ["Ada Byron and Kay Long", "Ada Byron, K. Long", "Ada Byron", None, None, None, None]
 
 
 def test_scripts_and_hyphens(spark):
-    assert run(spark, tx.scripts, ["x² y₁₀ 10⁻³", None, ""]) == ["x^2 y_{10} 10^{-3}", None, ""]
+    v = ["x² y₁₀ 10⁻³", None, "", "aⁿ⁺¹", "cᵢⱼ q₊ k⁻", "x²₃"]
+    want = ["x^2 y_{10} 10^{-3}", None, "", "a^{n+1}", "c_iⱼ q_{+} k^-", "x^2_3"]
+    assert run(spark, tx.scripts, v) == want
+    assert [un._RUN.sub(un._script, x) if x else x for x in v] == want
     assert run(spark, tx.dehyphenate, ["exam-\n ple", "A-\nB", "a - \nb"]) == ["example", "A-\nB", "a - \nb"]
 
 
@@ -86,3 +91,21 @@ def test_topic_ties_go_to_the_first(spark):
     kw = {"first": ["alpha"], "second": ["beta"]}
     df = spark.createDataFrame([("alpha beta", "x"), (None, None), ("none", "y")], "t string, b string")
     assert [r[0] for r in df.select(tx.classify_topic(F.col("t"), F.col("b"), kw)).collect()] == ["first", "general", "general"]
+
+
+def test_all_cleaning_steps(spark):
+    v = ["cafÃ©  y ½ x²\x00 ﬁn", "plain-\ntext", "ok cafÃ© y ÑANDÚ", None, "", "a​b  \n\n\n\nc", "Ångström"]
+    assert run(spark, un.normalize, v) == ["café y 1⁄2 x^2 fin", "plaintext", "ok café y ÑANDÚ", None, "", "ab\n\nc", "Ångström"]
+    plain = ["ﬁn “x” — y²", "a-\nb c \n\n\nd", "", None, "x" * 9000, "\ttab\x07 y"]
+    assert run(spark, lambda c: un.normalize(c, plain=True), plain) == run(spark, tx.normalize_text, plain)
+
+
+def test_highlight_crop_and_check_digits(spark):
+    assert run(spark, lambda c: tx.highlight(c, ["red", "re"]), ["Red fired redder", None, ""]) == ["<mark>Red</mark> fired <mark>red</mark>der", None, ""]
+    assert run(spark, lambda c: tx.highlight(c, []), ["Red"]) == ["Red"]
+    long = " ".join(f"w{i}" for i in range(50)) + " hit " + " ".join(f"v{i}" for i in range(50))
+    out = run(spark, lambda c: tx.crop(c, ["hit"], 10), [long, "short hit", None, "none " * 3, ""])
+    assert "hit" in out[0].split() and len(out[0].split()) == 10 and out[1:] == ["short hit", None, "none none none ", ""]
+    assert run(spark, tx.luhn, ["79927398713", "79927398710", "7992 7398-713", "", None, "x1"]) == [True, False, True, False, False, False]
+    assert run(spark, lambda c: tx.safe_path(c, ["/", "/a"]), ["/a?x", "//a", "/\\a", "/b", None, ""]) == ["/a?x", "/", "/", "/", "/", "/"]
+    assert run(spark, lambda c: tx.phone(F.lit("+3 4"), c), ["91-2 3", None]) == ["+349123", None]
