@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -21,10 +20,17 @@ def _byte(c: str) -> bytes:
 
 def _reread(s: str) -> str:
     try:
-        t = b"".join(map(_byte, s)).decode("utf-8")
-    except (UnicodeDecodeError, UnicodeEncodeError):
+        raw = s.encode("cp1252")
+    except UnicodeEncodeError:
+        try:
+            raw = b"".join(map(_byte, s))
+        except UnicodeEncodeError:
+            return s
+    try:
+        t = raw.decode("utf-8")
+    except UnicodeDecodeError:
         return s
-    return t if sum(c > "\x7f" for c in t) < sum(c > "\x7f" for c in s) else s
+    return t if len(t) < len(s) else s
 
 
 _ODD = re.compile(r"[^\x00-\x7f]{2,}")
@@ -64,23 +70,21 @@ _RUN = re.compile(f"[{tx.SUPER}]+|[{tx.SUB}]+")
 _LINE = {**dict(zip(tx.SUPER, tx.SUPER_PLAIN)), **dict(zip(tx.SUB, tx.SUB_PLAIN))}
 
 
-@lru_cache(maxsize=1)
-def _unwanted() -> re.Pattern:
-    """Control, format, surrogate, private and unassigned characters, but for tab, line feed and return, as ranges."""
-    out, start = [], None
-    for o in range(sys.maxunicode + 2):
-        bad = o <= sys.maxunicode and o not in (9, 10, 13) and unicodedata.category(chr(o))[0] == "C"
-        if bad and start is None:
-            start = o
-        elif not bad and start is not None:
-            out.append(f"\\U{start:08x}-\\U{o - 1:08x}")
-            start = None
-    return re.compile("[" + "".join(out) + "]")
+_TABLE = {**tx.LIGATURES, **tx.ONE_TO_ONE, **dict.fromkeys(tx.DROPPED, "")}
+_RAISED = frozenset(tx.SUPER + tx.SUB)
+
+
+@lru_cache(maxsize=None)
+def _unwanted(c: str) -> bool:
+    """Control, format, surrogate, private and unassigned characters, but for tab, line feed and return."""
+    return c not in "\t\n\r" and unicodedata.category(c)[0] == "C"
 
 
-@lru_cache(maxsize=1)
-def _table() -> dict[int, str | None]:
-    return {**{ord(k): v for k, v in tx.LIGATURES.items()}, **{ord(k): v for k, v in tx.ONE_TO_ONE.items()}, **dict.fromkeys(map(ord, tx.DROPPED))}
+def _swap(s: str, present: set[str]) -> str:
+    """The table applied by the few of its characters that a text has."""
+    for c in present & _TABLE.keys():
+        s = s.replace(c, _TABLE[c])
+    return s
 
 
 def _script(m: re.Match) -> str:
@@ -97,16 +101,20 @@ def clean(s: str | None, repair: bool = True, compatible: bool = True) -> str |
     if not s.isascii():
         if repair:
             s = unicodedata.normalize("NFC", _repair(s))
-        s = _RUN.sub(_script, s.translate(_table()))
+        s = _swap(s, set(s))
+        if not _RAISED.isdisjoint(s):
+            s = _RUN.sub(_script, s)
         if compatible:
             s = unicodedata.normalize("NFKC", s)
-        s = s.translate(_table())
+            s = _swap(s, set(s))
     elif _CONTROL.search(s):
-        s = s.translate(_table())
+        s = _swap(s, set(s))
     if "-" in s:
         s = _HYPHEN.sub(lambda m: m.group(1) + m.group(2) if m.group(2).islower() else m.group(), s)
     if not s.isascii():
-        s = _unwanted().sub("", s)
+        for c in set(s):
+            if c > "\x7e" and _unwanted(c):
+                s = s.replace(c, "")
     if "  " in s or "\t" in s:
         s = _SPACES.sub(" ", s)
     if " \n" in s:

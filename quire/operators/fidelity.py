@@ -20,7 +20,7 @@ DELIMITERS = r"\\(?:begin|end)\{[^}]*\}|\\left|\\right|\\.|[{}]"
 
 def signs(c: Column) -> Column:
     """The distinct characters of a text but for white space."""
-    return F.array_distinct(F.filter(F.split(c, ""), lambda x: ~x.rlike(r"^\s*$")))
+    return F.filter(F.array_distinct(F.split(c, "")), lambda x: ~x.rlike(r"^\s*$"))
 
 
 def fidelity(source: Column, markdown: Column, small: Column, validity: Column, compatible: Column | None = None) -> dict[str, Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import fonts as ft, glyphs as gl
 from quire.queries import query
+from quire.session import materialize
 from quire.sources.tables import table
 
 #: The raw font names by language, of every kind the predicates tell apart; None is the rest.
@@ -85,7 +86,8 @@ _REPORT = f"""(SELECT *, broken_name OR structural AS suspect FROM (SELECT book,
 
 
 def _counts(spark, d):
-    return ft.char_counts(_glyphs(spark, d))
+    """Counted once for all that is told from the counts."""
+    return materialize(ft.char_counts(_glyphs(spark, d)), "font-counts")
 
 
 def _report(spark, d, counts):
@@ -161,8 +163,8 @@ _RECOVERED = _RECOVERED.replace("ascii(substr(name, 5, 1))", "(CASE WHEN name LI
 
 def _recovered(spark, d):
     g = ft.char_counts(_glyphs(spark, d))
-    raw = _glyphs(spark, d).select(gl.font_key(F.col("font")).alias("family"), "font").distinct().groupBy("family").agg(F.bool_or(ft.name_broken(F.col("font"))).alias("broken"))
-    c = g.groupBy("family", F.ascii("ch").alias("codepoint"), "ch").agg(F.sum("n").alias("n")).join(raw, "family")
+    raw = table(spark, d, "documents").select(_font().alias("font")).distinct().select(gl.font_key(F.col("font")).alias("family"), "font").groupBy("family").agg(F.bool_or(ft.name_broken(F.col("font"))).alias("broken"))
+    c = materialize(g.groupBy("family", F.ascii("ch").alias("codepoint"), "ch").agg(F.sum("n").alias("n")).join(raw, "family"), "font-signs")
     codes = c.select("family", "codepoint").distinct()
     k = F.col("codepoint")
     name = F.when(k % 5 == 0, F.concat(F.lit("g"), k.cast("string"))).when(k % 5 < 3, F.concat(F.lit("name"), F.char(97 + k % 26)))
