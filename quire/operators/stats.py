@@ -92,3 +92,28 @@ def load_stats(df: DataFrame, stage: str, value: str, status: str, seconds: str)
     g = df.groupBy(stage).agg(F.count("*").alias("total"), F.count_if(bad).alias("errors"), F.max(seconds).alias("_s"), F.round(p(0.5), 6).alias("p50"), F.round(p(0.95), 6).alias("p95"), F.round(p(0.99), 6).alias("p99"), F.max(value).alias("max"))
     rate = F.when(F.col("_s") > 0, F.round(F.col("total") / F.col("_s"), 6)).otherwise(0.0)
     return g.join(one, stage, "left").select(stage, "total", rate.alias("rps"), F.round(F.col("errors") / F.col("total"), 6).alias("error_rate"), "p50", "p95", "p99", "max", F.coalesce("by_status", F.lit("")).alias("by_status"))
+
+
+#: Control, format, surrogate, private and unassigned characters, but for tab, line feed and return.
+SUSPICIOUS = r"[\p{C}&&[^\t\n\r]]"
+
+
+def charset_audit(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(code, n, files): the suspicious characters of all texts as U+XXXX, how often and in how many rows they stand. They are
+    counted per row before they are shuffled."""
+    c = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(SUSPICIOUS), F.lit(0))).alias("ch")).groupBy(key, "ch").agg(F.count("*").alias("n"))
+    o = F.ascii("ch")
+    code = F.concat(F.lit("U+"), F.when(o > 0xFFFF, F.hex(o)).otherwise(F.lpad(F.hex(o), 4, "0")))
+    return c.groupBy(code.alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+
+
+def charset_clean(text: Column) -> Column:
+    """Whether a text has no suspicious character; null is clean."""
+    return ~F.coalesce(text.rlike(SUSPICIOUS), F.lit(False))
+
+
+def weighted_pick(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows drawn without replacement, each in proportion to its weight, the same for the same seed and keys: the rows of
+    least -log(u) / weight, where u is a hash of the key. Rows without a positive weight are never drawn."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    return df.where(F.col(weight) > 0).withColumn("_o", -F.log(u) / F.col(weight)).orderBy("_o", key).limit(n).drop("_o")

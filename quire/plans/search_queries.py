@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.functions import dork as dk, text as tx
-from quire.operators import search as se
+from quire.operators import search as se, stats as st
 from quire.queries import query
+from quire.session import shared_dir
+from quire.sources import files as fs
 from quire.sources.tables import table
 
 
@@ -209,3 +213,25 @@ def client_links(spark, d):
     t = _docs(spark, d)
     one, two = dk.client(F.col("title"), F.col("author"), F.col("filetype"))
     return t.select("id", one.alias("url"), two.alias("alternative")).distinct()
+
+
+@query("SELECT id, title, language FROM (SELECT DISTINCT * FROM book_results)")
+def index_sink(spark, d):
+    """The index documents written, parted by language, and read back."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    fs.write_index(_hits(spark, d).select("id", "title", "author", "language"), path)
+    return spark.read.schema("id string, title string, author string, language string").parquet(path).select("id", "title", "language")
+
+
+@query("SELECT source_site, count(DISTINCT log_id) AS n FROM search_log WHERE source_site IS NOT NULL GROUP BY source_site")
+def report_sink(spark, d):
+    """An inventory written as JSON lines and read back."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    fs.write_report(table(spark, d, "search_log").where("source_site is not null").groupBy("source_site").agg(F.countDistinct("log_id").alias("n")), path)
+    return spark.read.schema("source_site string, n long").json(path)
+
+
+@query()
+def weighted_pick(spark, d):
+    """Twenty documents drawn in proportion to their length."""
+    return st.weighted_pick(table(spark, d, "documents"), "doc_id", "n_chars", 20, 7).select("doc_id", "n_chars")

@@ -264,11 +264,17 @@ def normalize_text(spark, d):
     return _digest(spark, d, lambda c: un.normalize(c, plain=True))
 
 
-@query("SELECT ch, count(*) AS n, count(DISTINCT file_hash) AS files FROM (SELECT file_hash, unnest(regexp_extract_all(markdown, '[\\x{80}-\\x{9F}\\x{AD}\\x{200B}-\\x{200F}\\x{FEFF}]')) AS ch FROM conversions) GROUP BY ch".replace("SELECT ch,", "SELECT 'U+' || lpad(upper(to_hex(unicode(ch))), 4, '0') AS code,"))
+_SUSPECT = r"[\p{Cc}\p{Cf}\p{Co}]"
+
+
+@query(f"SELECT 'U+' || lpad(upper(to_hex(unicode(ch))), 4, '0') AS code, count(*) AS n, count(DISTINCT file_hash) AS files FROM (SELECT file_hash, unnest(regexp_extract_all(markdown, '{_SUSPECT}')) AS ch FROM conversions) WHERE ch NOT IN (chr(9), chr(10), chr(13)) GROUP BY ch")
 def charset_audit(spark, d):
-    c = table(spark, d, "conversions").select("file_hash", F.explode(F.regexp_extract_all("markdown", F.lit(r"[\x{80}-\x{9F}\x{AD}\x{200B}-\x{200F}\x{FEFF}]"), F.lit(0))).alias("ch"))
-    code = F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii("ch")), 4, "0"))
-    return c.groupBy(code.alias("code")).agg(F.count("*").alias("n"), F.countDistinct("file_hash").alias("files"))
+    return st.charset_audit(table(spark, d, "conversions"), "file_hash", "markdown")
+
+
+@query(f"SELECT doc_id, NOT regexp_matches(regexp_replace(text, '[\\t\\n\\r]', '', 'g'), '{_SUSPECT}') AS clean FROM documents")
+def charset_clean(spark, d):
+    return table(spark, d, "documents").select("doc_id", st.charset_clean(F.col("text")).alias("clean"))
 
 
 _INJECT = "(SELECT file_hash, coalesce(title, '') || CASE ascii(substr(file_hash, 1, 1)) % 5 WHEN 0 THEN ' \\frac{a' WHEN 1 THEN ' }b{' WHEN 2 THEN ' x^' WHEN 3 THEN ' {{{{y' ELSE ' {z}_' END AS s FROM conversions)"

@@ -290,3 +290,18 @@ def test_outcomes_keep_failures_and_convert_copies_once(spark):
     new, status = outcomes(f, known)
     assert new.count() == 1
     assert {r["filename"]: r["status"] for r in status.collect()} == {"a.txt": "converted", "b.txt": "converted", "c.txt": "failed", "d.txt": "failed", "e.txt": "cache_hit"}
+
+
+def test_weighted_pick_is_seeded_and_follows_weights(spark):
+    df = spark.createDataFrame([(i, 50.0 if i < 20 else 1.0) for i in range(400)] + [(900, 0.0), (901, None), (902, -1.0)], "k int, w double")
+    pick = lambda seed: [r["k"] for r in stt.weighted_pick(df, "k", "w", 30, seed).collect()]
+    assert pick(1) == pick(1) != pick(2) and len(set(pick(1))) == 30
+    heavy = [sum(k < 20 for k in pick(s)) for s in range(6)]
+    assert min(heavy) >= 12 and max(max(pick(s)) for s in range(3)) < 900
+    assert stt.weighted_pick(df.limit(0), "k", "w", 5).count() == 0
+
+
+def test_charset_audit_and_flag(spark):
+    df = spark.createDataFrame([(1, "a\x00b\x00\ue001\n"), (2, "ok\t\r\n"), (3, None), (4, "\x00")], "k int, t string")
+    assert {tuple(r) for r in stt.charset_audit(df, "k", "t").collect()} == {("U+0000", 3, 2), ("U+E001", 1, 1)}
+    assert [r[0] for r in df.orderBy("k").select(stt.charset_clean(F.col("t"))).collect()] == [False, True, True, False]
