@@ -231,10 +231,13 @@ def daily_counts(spark, d):
     return table(spark, d, "search_log").groupBy(F.to_date("fecha").alias("day")).agg(F.countDistinct("log_id").alias("searches"), F.countDistinct("uid").alias("users"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) / 3600.0 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts) / 3600.0, event_id) AS i FROM events),
+BUCKET_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) / 3600.0 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts) / 3600.0, event_id) AS i FROM events),
     f AS (SELECT user_id, event_id, i, s, CAST(4 AS DOUBLE) AS t0 FROM e WHERE i = 1
       UNION ALL SELECT e.user_id, e.event_id, e.i, e.s, least(4.0, CASE WHEN f.t0 >= 1 THEN f.t0 - 1 ELSE f.t0 END + greatest(0.0, e.s - f.s) * 0.125) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
-    SELECT CAST(user_id AS VARCHAR) AS key, event_id AS event, t0 >= 1 AS allowed, CASE WHEN t0 >= 1 THEN 0 ELSE CAST(floor((1 - t0) / 0.125) AS BIGINT) + 1 END AS wait_s FROM f""")
+    SELECT CAST(user_id AS VARCHAR) AS key, event_id AS event, t0 >= 1 AS allowed, CASE WHEN t0 >= 1 THEN 0 ELSE CAST(floor((1 - t0) / 0.125) AS BIGINT) + 1 END AS wait_s FROM f"""
+
+
+@query(BUCKET_SQL)
 def token_bucket(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600.0).alias("s"))
     return lm.token_bucket(e, "user_id", "event_id", "s", capacity=4.0, rate=0.125)

@@ -26,7 +26,6 @@ KEYWORDS = {
     "derecho": ["contrato", "tribunal", "norma penal", "verdict", "creditor", "cláusula"],
 }
 CODE = [r"\bdef \w+\(", r"\breturn\b", r"\bselect \w+", r"const \w+ ="]
-STOP = {"es": ["el", "los", "una", "por", "con"], "en": ["the", "of", "and", "with", "for"], "fr": ["le", "les", "une", "dans", "est"], "de": ["der", "und", "mit", "nicht", "auf"], "pt": ["os", "uma", "não", "com", "mais"], "it": ["il", "gli", "che", "della", "più"]}
 
 _VARIANT = """(SELECT *, ascii(substr(file_hash, 1, 1)) % 4 AS k FROM (SELECT * REPLACE (coalesce(title, '') AS title, coalesce(author, '') AS author) FROM conversions))"""
 _FILENAME = """CASE k WHEN 0 THEN title || ' 2nd Edition (1999) [' || author || '].pdf' WHEN 1 THEN title || ' - ' || author || '.epub' WHEN 2 THEN title || '___' || author || '.pdf' ELSE title || ' by ' || author || ' [2003].txt' END"""
@@ -197,17 +196,12 @@ def doc_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), tx.word_count(F.col("text")).alias("words"))
 
 
-def _lang_sql() -> str:
-    n = lambda ws: " + ".join(f"len(regexp_extract_all(t, ' {w} '))" for w in ws)
-    return ", ".join(f"struct_pack(n := {n(ws)}, rank := {-i}, lang := '{l}')" for i, (l, ws) in enumerate(STOP.items()))
+_LANGS = ", ".join(f"struct_pack(n := len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ws)}))), rank := {-i}, lang := '{k}')" for i, (k, ws) in enumerate(tx.STOP_WORDS.items()))
 
 
-@query(f"SELECT doc_id, CASE WHEN best.n > 0 THEN best.lang ELSE 'und' END AS lang FROM (SELECT doc_id, list_max([{_lang_sql()}]) AS best FROM (SELECT doc_id, lower(substr(text, 1, 3000)) AS t FROM documents))")
+@query(f"SELECT doc_id, CASE WHEN best.n > 0 THEN best.lang ELSE 'und' END AS lang FROM (SELECT doc_id, list_max([{_LANGS}]) AS best FROM (SELECT doc_id, regexp_split_to_array(lower(substr(text, 1, 3000)), '[^\\p{{L}}]+') AS w FROM documents))".replace("\\\\", "\\"))
 def lang_detect(spark, d):
-    t = F.lower(F.substring("text", 1, 3000))
-    score = F.array(*[F.struct(sum((F.size(F.regexp_extract_all(t, F.lit(f" {w} "), F.lit(0))) for w in ws), F.lit(0)).alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang")) for i, (lang, ws) in enumerate(STOP.items())])
-    b = F.array_max(score)
-    return table(spark, d, "documents").select("doc_id", F.when(b["n"] > 0, b["lang"]).otherwise("und").alias("lang"))
+    return table(spark, d, "documents").select("doc_id", tx.lang_detect(F.col("text")).alias("lang"))
 
 
 # cleaning: results are compared by the digest of the cleaned text, with a sign of whether it changed

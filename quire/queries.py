@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def load() -> None:
-    from quire.plans import catalog_queries, glyph_queries, more_queries, search_queries, text_queries  # noqa: F401
+    from quire.plans import catalog_queries, glyph_queries, more_queries, search_queries, stream_queries, text_queries  # noqa: F401
 
 
 load()

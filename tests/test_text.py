@@ -109,3 +109,8 @@ def test_highlight_crop_and_check_digits(spark):
     assert run(spark, tx.luhn, ["79927398713", "79927398710", "7992 7398-713", "", None, "x1"]) == [True, False, True, False, False, False]
     assert run(spark, lambda c: tx.safe_path(c, ["/", "/a"]), ["/a?x", "//a", "/\\a", "/b", None, ""]) == ["/a?x", "/", "/", "/", "/", "/"]
     assert run(spark, lambda c: tx.phone(F.lit("+3 4"), c), ["91-2 3", None]) == ["+349123", None]
+
+
+def test_language_by_stop_words(spark):
+    v = ["El autor de los libros que se leen en la casa", "the author of the books that are read in the house", "der Autor der Bücher, die nicht im Haus sind", "le livre est dans la maison et les pages sont pour vous", "os livros que não são da casa com uma porta", "il libro che non è nel cassetto della casa", "это книга не для тех, кто в доме", "12 34", "", None]
+    assert run(spark, tx.lang_detect, v) == ["es", "en", "de", "fr", "pt", "it", "ru", "und", "und", "und"]
