@@ -3,8 +3,9 @@
 The running text is taken off its lines into one stream of characters and decoded against a lexicon counted over all
 documents, joined by the document's own repeated words. Where the stream leaves the lexicon, a lattice over its characters
 has an edge for every known word, read as it stands, under character confusions, across a space, a line end or a hyphen,
-or beside another without a space, and for every word kept as unknown; the cheapest path wins. A word that the lexicon
-knows is an edge no other one crosses, so the stream is decoded between such words. Running heads and page numbers are
+or beside another without a space, and for every word kept as unknown; the cheapest path wins. What is decoded at once is a
+word outside the lexicon with all neighbours, known ones too, to which a word across their border leads at less cost; two
+known words side by side stay as they are, since single words cannot tell "si no" from "sino". Running heads and page numbers are
 taken out by their place, their repetition and the sequence of their numbers. Where paragraphs begin is chosen by dynamic
 programming over the lines, whose state is the length of the paragraph so far.
 """
@@ -87,7 +88,9 @@ class Lexicon:
     docs: int
     df: dict[str, int]
     memo: dict[str, str | None] = field(default_factory=dict)
-    paths: dict[str, list[tuple[int, int, str]] | None] = field(default_factory=dict)
+    paths: dict[tuple, list[tuple[int, int, str]] | None] = field(default_factory=dict)
+    parts: dict[str, tuple[list[tuple[int, float]], list[tuple[int, float]]]] = field(default_factory=dict)
+    links: dict[tuple, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.keys: dict[str, str] = {}
@@ -95,6 +98,7 @@ class Lexicon:
             self.keys[key(w)] = w
 
         self.words = sorted(self.df)
+        self.beginnings = sorted(self.keys)
 
     def read(self, w: str, extra: dict[str, str]) -> str | None:
         """The known word that w is under confusions: one that folds alike, else the one of fewest single confusions."""
@@ -151,17 +155,82 @@ class Lexicon:
         n = self.df.get(w)
         return None if n is None else log((self.docs + 1) / (n + 0.5)) + (3.0 if len(w) < 3 else 0.0)
 
+    def known(self, w: str) -> tuple[float, str] | None:
+        """Cost and reading of a known word, as it stands or as one that folds alike."""
+        c = self.cost(w)
+        if c is not None:
+            return c, w
+        r = self.keys.get(key(w)) if len(w) > 3 else None
+        return (self.cost(r) + CONFUSED, r) if r else None
+
+    def goes_on(self, w: str) -> bool:
+        """Whether a known word may begin as w does: the last letters may still fold together with what comes."""
+        k = key(w)[:-3]
+        i = bisect_left(self.beginnings, k)
+        return i < len(self.beginnings) and self.beginnings[i].startswith(k)
+
+    def cut(self, w: str) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
+        """Where known words end from the left, and begin to the right, of a token: (characters before, cost of the words)."""
+        if w in self.parts:
+            return self.parts[w]
+        n = len(w)
+        left, right = [0.0] + [INF] * n, [INF] * n + [0.0]
+        for a in range(n):
+            for z in range(a + 1, n + 1):
+                if (got := self.known(w[a:z])) is not None:
+                    left[z] = min(left[z], left[a] + got[0] + (BETWEEN if a else 0.0))
+                elif not self.goes_on(w[a:z]):
+                    break
+        for a in range(n - 1, -1, -1):
+            for z in range(a + 1, n + 1):
+                if right[z] < INF and (got := self.known(w[a:z])) is not None:
+                    right[a] = min(right[a], right[z] + got[0] + (BETWEEN if z < n else 0.0))
+        out = [(i, c) for i, c in enumerate(left) if c < INF and i < n], [(i, c) for i, c in enumerate(right) if c < INF and i]
+        if len(self.parts) < 200_000:
+            self.parts[w] = out
+        return out
+
+    def linked(self, a: str, b: str, cost: float) -> bool:
+        """Whether a known word across the border of two tokens makes a cheaper path than their own `cost`, or may go on
+        into a third one."""
+        k = (a, b, round(cost, 3))
+        if k in self.links:
+            return self.links[k]
+        got = False
+        for i, x in self.cut(a)[0]:
+            if self._range(a[i:] + b, 0, len(self.words)) != (0, 0) and a[i:] + b not in self.df:
+                got = True
+            for j, y in self.cut(b)[1]:
+                if not got and x + y + OVER < cost and (w := self.known(a[i:] + b[:j])) is not None:
+                    got = x + y + OVER + w[0] + (BETWEEN if i else 0.0) + (BETWEEN if j < len(b) else 0.0) < cost
+            if got:
+                break
+        if len(self.links) < 400_000:
+            self.links[k] = got
+        return got
+
 
-#: Costs of the lattice, in nats: an unknown word and each of its letters, a confusion, a space or line end read over,
-#: a space put in, a hyphen at a line's end kept as a border of words.
-UNKNOWN, PER_LETTER, CONFUSED, OVER, BETWEEN, KEPT = 9.0, 0.6, 4.0, 4.0, 7.0, 3.0
+#: Costs of the lattice, in nats: an unknown word and each of its letters, a confusion, a space read over,
+#: a line's end read over where no hyphen stood, a space put in, a hyphen at a line's end kept as a border of words.
+UNKNOWN, PER_LETTER, CONFUSED, OVER, LOST, BETWEEN, KEPT = 9.0, 0.6, 4.0, 7.0, 11.0, 7.0, 3.0
+INF = float("inf")
 
 
-def decode(tokens: tuple[str, ...], hyphens: frozenset[int], lex: Lexicon) -> list[tuple[int, int, str]]:
+def token_cost(w: str, lex: Lexicon, reading: str | None = None) -> float:
+    """Of a token as one word: known, read otherwise, or unknown."""
+    c = lex.cost(w)
+    if c is not None:
+        return c - (3.0 if len(w) < 3 else 0.0)  # a short word that stands by itself is no chance piece
+    u = UNKNOWN + PER_LETTER * len(w)
+    r = lex.cost(reading) if reading else None
+    return u if r is None else min(u, r + CONFUSED)
+
+
+def decode(tokens: tuple[str, ...], hyphens: frozenset[int], lex: Lexicon, readings: tuple[str | None, ...] = (), broken: frozenset[int] = frozenset()) -> list[tuple[int, int, str]]:
     """The cheapest path through the characters of some tokens in a row, as (first character, behind the last, reading).
 
-    `hyphens` holds the tokens behind which stood a hyphen and a line's end. Positions count the tokens' characters
-    without spaces.
+    `hyphens` holds the tokens behind which stood a hyphen and a line's end, `broken` a line's end alone; `readings` what a token is read as whole
+    under confusions beyond those that fold alike. Positions count the tokens' characters without spaces.
     """
     s = "".join(tokens)
     ends, at = [], 0
@@ -169,9 +238,10 @@ def decode(tokens: tuple[str, ...], hyphens: frozenset[int], lex: Lexicon) -> li
         at += len(t)
         ends.append(at)
     border = dict.fromkeys([0, *ends], 0.0)
-    inside = {e: 0.0 if i in hyphens else OVER for i, e in enumerate(ends[:-1])}
+    inside = {e: 0.0 if i in hyphens else LOST if i in broken else OVER for i, e in enumerate(ends[:-1])}
     border.update({ends[i]: KEPT for i in hyphens if i < len(ends) - 1})
     starts = dict(zip([0, *ends], tokens))
+    whole = dict(zip([0, *ends], readings))
     best: list[tuple[float, int, str] | None] = [(0.0, 0, "")] + [None] * len(s)
     for p in range(len(s)):
         if best[p] is None:
@@ -182,16 +252,18 @@ def decode(tokens: tuple[str, ...], hyphens: frozenset[int], lex: Lexicon) -> li
             w = s[p:q]
             if q - 1 in inside and q - 1 > p:
                 over += inside[q - 1]
-            c = lex.cost(w)
-            got = w
-            if c is None and q - p > 3 and (r := lex.keys.get(key(w))):
-                c, got = lex.cost(r) + CONFUSED, r
-            if p in starts and w == starts[p] and (c is None or got != w):
-                u = UNKNOWN + PER_LETTER * len(w)
+            c, got = lex.known(w) or (None, w)
+            if over and got != w:
+                c += CONFUSED  # two errors in one word
+            if p in starts and w == starts[p]:
+                u = token_cost(w, lex, whole.get(p))
                 if c is None or u < c:
-                    c, got = u, w
+                    c, got = u, w if w in lex.df else whole.get(p) or w
             if c is not None and (best[q] is None or base + over + c < best[q][0]):
                 best[q] = (base + over + c, p, got)
+            # no known word begins so, and the token's own edge lies behind
+            if c is None and q - p >= len(starts.get(p, "")) and not lex.goes_on(w):
+                break
     out, q = [], len(s)
     while q:
         _, p, w = best[q]
@@ -392,7 +464,10 @@ def analyse(text: str, title: str | None, author: str | None, lex: Lexicon, repa
         if new is not None:
             fixes[r] = new
     nxt = dict(zip(text_lines, text_lines[1:]))
-    apart = _reparted(lines, text_lines, {r for r, w, low in strange if r not in fixes and own[low] < 2 and not _ODD.search(r)}, lex) if broken else {}
+    # misread borders of words are looked for where the page's lines are still there
+    paged = any(j == i + 1 for i, j in nxt.items())
+    open_ = {r for r, w, low in strange if (r in fixes or own[low] < 2 and low.isalnum() and not low.isdigit()) and not _ODD.search(r)} if paged else set()
+    apart, marked = _reparted(lines, kinds, text_lines, open_, fixes, lex)
     fixed: dict[int, str] = {}
     joined_from: dict[int, tuple[str, str]] = {}
     for i in text_lines:
@@ -410,8 +485,8 @@ def analyse(text: str, title: str | None, author: str | None, lex: Lexicon, repa
                     hyphen = (a, b)
                     found.append((i + 1, "hyphen"))
         moved = apart.get(i, {})
-        bad = bool(moved)
-        if bad or fixes and any(r in line for r in fixes):
+        bad = i in marked
+        if moved or fixes and any(r in line for r in fixes):
             out, last = [], 0
             toks = list(TOKEN.finditer(line))
             for q, t in enumerate(toks):
@@ -447,58 +522,117 @@ def analyse(text: str, title: str | None, author: str | None, lex: Lexicon, repa
     return found, _paragraphs(lines, kinds, fixed) if repair else None
 
 
-def _reparted(lines: list[str], text_lines: list[int], unknown: set[str], lex: Lexicon) -> dict[int, dict[int, tuple[int, str]]]:
-    """Line -> (start -> (end, reading)): where the cheapest path puts the borders of words elsewhere than the line does.
+def _reparted(lines: list[str], kinds: list[str], text_lines: list[int], strange: set[str], fixes: dict[str, str], lex: Lexicon) -> tuple[dict[int, dict[int, tuple[int, str]]], set[int]]:
+    """(line -> (start -> (end, reading)), lines with a misread word) where the cheapest path puts the borders of words
+    elsewhere than the page does.
 
-    A stretch of unknown tokens is decoded with the known neighbours that would make a known word with it.
+    The stream runs on over spaces, line ends and page furniture. Tokens outside the lexicon, with what each is read as
+    under confusions, are decoded together with all neighbours to which a word across the border may lead.
     """
     out: dict[int, dict[int, tuple[int, str]]] = {}
-    if not unknown:
-        return out
+    marked: set[int] = set()
+    if not strange:
+        return out, marked
+    cut: dict[int, list[tuple[str, str, int, int]]] = {}
+    at_line = {i: n for n, i in enumerate(text_lines)}
+
+    def toks(i: int) -> list[tuple[str, str, int, int]]:
+        if i not in cut:
+            cut[i] = [(t.group(), t.group().lower(), t.start(), t.end()) for t in TOKEN.finditer(lines[i])]
+        return cut[i]
+
+    def word(t: tuple[str, str, int, int]) -> bool:
+        return t[1].isalpha() or t[0] in strange
+
+    def after(i: int, k: int) -> tuple[int, int] | None:
+        """The next token of the stream, if only a space or a line's end parts it."""
+        own = toks(i)
+        if k + 1 < len(own):
+            return (i, k + 1) if lines[i][own[k][3] : own[k + 1][2]] == " " else None
+        n = at_line[i] + 1
+        if lines[i][own[k][3] :].strip() or n >= len(text_lines):
+            return None
+        j = text_lines[n]
+        between = kinds[i + 1 : j]
+        if "block" in between or "code" in between or "blank" in between and not ("header" in between or "page" in between):
+            return None
+        more = toks(j)
+        return (j, 0) if more and not lines[j][: more[0][2]].strip() else None
+
+    def before(i: int, k: int) -> tuple[int, int] | None:
+        if k:
+            return (i, k - 1) if after(i, k - 1) else None
+        n = at_line[i] - 1
+        return (j, len(toks(j)) - 1) if n >= 0 and toks(j := text_lines[n]) and after(j, len(toks(j)) - 1) == (i, k) else None
+
+    def tail(i: int, k: int) -> bool:
+        """Whether a token is the rest of a word that a hyphen parts at the line's end; it is read with its beginning."""
+        return not k and at_line[i] > 0 and bool(_HYPHEN.search(lines[text_lines[at_line[i] - 1]]))
+
+    def usable(x: tuple[int, int]) -> bool:
+        return word(toks(x[0])[x[1]]) and not tail(*x) and not lines[x[0]].count("`", 0, toks(x[0])[x[1]][2]) % 2
+
+    def linked(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> bool:
+        a, b = ([toks(i)[k] for i, k in x] for x in (left, right))
+        return lex.linked("".join(t[1] for t in a), "".join(t[1] for t in b), sum(token_cost(t[1], lex, fixes.get(t[0])) for t in a + b))
+
+    done: set[tuple[int, int]] = set()
     for i in text_lines:
-        line = lines[i]
-        if not any(u in line for u in unknown):
+        if not any(u in lines[i] for u in strange):
             continue
-        toks = [t for t in TOKEN.finditer(line)]
-        low = [t.group().lower() for t in toks]
-        q = 0
-        while q < len(toks):
-            if toks[q].group() not in unknown or not low[q].isalpha() or line.count("`", 0, toks[q].start()) % 2:
-                q += 1
+        for k, t in enumerate(toks(i)):
+            if t[0] not in strange or (i, k) in done or not usable((i, k)):
                 continue
-            a, z = q, q + 1
-            beside = lambda k: line[toks[k - 1].end() : toks[k].start()] == " " and low[k - 1].isalpha() and low[k].isalpha()
-            while z < len(toks) and toks[z].group() in unknown and beside(z):
-                z += 1
-            q = z
-            if z < len(toks) and beside(z) and low[z - 1] + low[z] in lex.df:
-                z += 1
-            if a and beside(a) and low[a - 1] + low[a] in lex.df:
-                a -= 1
-            path = _path(tuple(low[a:z]), lex)
+            span = [(i, k)]
+            # a stretch ends behind the first known word, which no word across two borders may cross
+            while (y := after(*span[-1])) and usable(y) and linked(span, [y]):
+                span.append(y)
+                if toks(y[0])[y[1]][0] not in strange:
+                    break
+            if (y := before(i, k)) and y not in done and usable(y) and linked([y], span):
+                span.insert(0, y)
+            done.update(span)
+            ts = [toks(a)[b] for a, b in span]
+            path = _path(tuple(x[1] for x in ts), tuple(fixes.get(x[0]) for x in ts), frozenset(n for n, (a, b) in enumerate(zip(span, span[1:])) if a[0] != b[0]), lex)
             if path is None:
                 continue
-            words = " ".join(w for _, _, w in path)
-            raw = line[toks[a].start() : toks[z - 1].end()]
-            out.setdefault(i, {})[toks[a].start()] = (toks[z - 1].end(), words[:1].upper() + words[1:] if raw[:1].isupper() else words)
-    return out
-
-
-def _path(tokens: tuple[str, ...], lex: Lexicon) -> list[tuple[int, int, str]] | None:
+            ends, n = [], 0
+            for x in ts:
+                n += len(x[1])
+                ends.append(n)
+            begin = [0, *ends[:-1]]
+            lives = lambda p: next(q for q, e in enumerate(ends) if p < e)
+            said: dict[int, list[str]] = {a: [] for a, _ in span}
+            for p, q, w in path:
+                m = lives(p)
+                raw = ts[m][0]
+                said[span[m][0]].append(_case(raw, w) if p == begin[m] or raw.isupper() else w)
+                if w != "".join(x[1] for x in ts)[p:q] or p != begin[m]:
+                    marked.add(span[m][0])
+                for e, a, b in zip(ends, span, span[1:]):
+                    if p < e < q and a[0] == b[0]:
+                        marked.add(a[0])
+            for a in said:
+                mine = [x for (c, _), x in zip(span, ts) if c == a]
+                out.setdefault(a, {})[mine[0][2]] = (mine[-1][3], " ".join(said[a]))
+    return out, marked
+
+
+def _path(tokens: tuple[str, ...], readings: tuple[str | None, ...], broken: frozenset[int], lex: Lexicon) -> list[tuple[int, int, str]] | None:
     """The decoded path if it parts the characters otherwise than the tokens do and leaves no unknown word in what it changes."""
-    k = " ".join(tokens)
-    if k not in lex.paths:
-        path = decode(tokens, frozenset(), lex)
-        ends, n = set(), 0
-        for t in tokens:
-            n += len(t)
-            ends.add(n)
-        moved = {q for _, q, _ in path} != ends
-        got = path if moved and all(w in lex.df for _, _, w in path) else None
-        if len(lex.paths) < 200_000:
-            lex.paths[k] = got
-        return got
-    return lex.paths[k]
+    k = tokens, readings, broken
+    if k in lex.paths:
+        return lex.paths[k]
+    path = decode(tokens, frozenset(), lex, readings, broken)
+    as_is, n = {}, 0
+    for t, r in zip(tokens, readings):
+        as_is[n, n + len(t)] = (t, r)
+        n += len(t)
+    moved = any((p, q) not in as_is for p, q, _ in path)
+    got = path if moved and all(w in lex.df or w in as_is.get((p, q), ()) for p, q, w in path) else None
+    if len(lex.paths) < 200_000:
+        lex.paths[k] = got
+    return got
 
 
 def _bare(w: str) -> str:
@@ -546,7 +680,7 @@ def _fix(raw: str, low: str, own: Counter, mine: dict[str, str], lex: Lexicon) -
     return got
 
 
-LONG, INF = 24, float("inf")  # lines of a paragraph that are told apart
+LONG = 24  # lines of a paragraph that are told apart
 
 
 def _paragraphs(lines: list[str], kinds: list[str], fixed: dict[int, str]) -> str:

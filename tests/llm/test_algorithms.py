@@ -305,6 +305,28 @@ def test_words_run_together_or_parted_are_decoded():
         assert abs(cost - brute(s, None)) < 1e-9
 
 
+def test_stream_is_decoded_with_neighbours_and_confusions_at_once():
+    known = "the quiet reader opened the heavy volume and noticed several careful remarks about modern printing methods near margin"
+    lex = scans.build_lexicon([(w, 300) for w in set(known.split())] + [("them", 3), ("care", 3), ("fui", 3)], 3000, 3)
+
+    def read(text, noise):
+        found, new = scans.analyse("the quiet\nreader opened\nthe heavy\nvolume and\nnoticed several\ncareful remarks\nabout modern\n" + text, None, None, lex)
+        assert {x for x in found if x[1] == "chars"} == {(n, "chars") for n in noise}
+        return new
+
+    # the border has slipped into a known word, which alone looks right
+    assert "modern the margin near" in read("them argin near", {8})
+    # one word parted in two, of which the second is misread, and is a known word by itself when repaired alone
+    assert "several careful remarks" in read("several care fu1 remarks", {8})
+    # a name beside does not keep words run together, nor does a part that is known
+    assert "Zusoven heavy volume Kedibor" in read("Zusoven heavyvolume Kedibor", {8})
+    assert "noticed careful remarks" in read("noticed ca re ful remarks", {8})
+    # the stream goes on over line ends and page furniture, and known words side by side stay
+    assert "of printing methods" in read("of prin\nting methods", set())
+    assert "the several remarks" in read("opened the sev\n\n- 12 -\n\neral remarks\nnear the margin", set())
+    assert "care fui near" in read("care fui near", set())
+
+
 def test_confusions_are_found_at_any_length():
     long = "w" + "undersameigenartigkeit" * 3
     lex = scans.build_lexicon([(long, 30), ("remarks", 30)], 31)
