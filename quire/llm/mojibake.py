@@ -310,14 +310,30 @@ class Cipher:
         return float(sum(self.logb[self.at(a), self.at(b)] for a, b in zip(t, t[1:])))
 
 
-def clean_model(samples: Iterable[str], garbles: list[tuple[str, str]] = GARBLES) -> Cipher:
-    """The bigram model of clean sample texts and the code-page prior of the symbols."""
+def pair_counts(texts: Iterable[str]) -> Counter:
+    """Weighted counts of the pairs of characters in clean texts, as written and in capitals."""
     big: Counter = Counter()
-    for t in samples:
+    for t in texts:
         for form, w in ((t, 6), (t.upper(), 1), (t.title(), 1)):
             s = " " + form + " "
-            for a, b in zip(s, s[1:]):
-                big[a, b] += w
+            for pair, n in Counter(zip(s, s[1:])).items():
+                big[pair] += w * n
+    return big
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        big = pair_counts(b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in big], pa.string()), pa.array([p[1] for p in big], pa.string()), pa.array(big.values(), pa.int64())], ["a", "b", "n"])
+
+
+def clean_model(samples: Iterable[str], garbles: list[tuple[str, str]] = GARBLES) -> Cipher:
+    """The bigram model of clean texts and the code-page prior of the symbols."""
+    return model_of(pair_counts(samples), garbles)
+
+
+def model_of(big: dict[tuple[str, str], int], garbles: list[tuple[str, str]] = GARBLES) -> Cipher:
+    """The same from the counts of the pairs."""
     chars = sorted({c for ab in big for c in ab} | set(RIGHT))
     letters = [c for c in chars if c >= "\x80"]
     names = letters + [c for c in chars if c < "\x80"]
@@ -401,17 +417,18 @@ def _counts(batches: Iterator[pa.RecordBatch], model: Cipher) -> Iterator[pa.Rec
     yield out()
 
 
-def fit(df: DataFrame, fields: list[str], samples: DataFrame, text: str = "text", max_rows: int = 2000) -> Cipher:
-    """Learn the ciphers from all rows of df.
+def fit(df: DataFrame, fields: list[str], samples: DataFrame, text: str = "text") -> Cipher:
+    """Learn clean language from all rows of `samples`, which hold clean text, and the ciphers from all rows of df.
 
-    `samples` gives clean text (at most max_rows rows come to the driver); of df only counts do, summed on the cluster:
-    of (left, symbol, right), and of the same per source. Their number is bounded by the inventory of the characters that
+    Only counts come to the driver, summed on the cluster: of pairs of characters in `samples`; in df of (left, symbol,
+    right), and of the same per source. Their number is bounded by the inventory of the characters that
     can be in question, not by rows: letters of other scripts among themselves, such as running Chinese, are not counted.
     """
     spark = df.sparkSession
     ship(spark)
     arrow_rows(spark, 1000)
-    model = clean_model([r[0] for r in samples.select(text).where(F.col(text).isNotNull()).orderBy(F.xxhash64(text)).limit(max_rows).collect()])
+    clean = samples.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull()).mapInArrow(_pairs, "a string, b string, n long")
+    model = model_of({(r[0], r[1]): r[2] for r in clean.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()})
     src = df.select(*[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
     counts = src.mapInArrow(lambda it: _counts(it, model), "s string, l string, u string, r string, n long").groupBy("s", "l", "u", "r").agg(F.sum("n").alias("n"))
     rows = [tuple(r) for r in counts.collect()]

@@ -217,6 +217,15 @@ def test_mojibake_round_trip(spark):
     assert np.mean([got[f"u{i}"] == held[i] for i in odd]) > 0.85
 
 
+def test_clean_language_is_counted_over_all_samples(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aeñóстр ßç") for _ in range(12)) for _ in range(2300)]
+    samples = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    model = mojibake.fit(spark.createDataFrame([("a",)], "t string"), ["t"], samples)
+    want = mojibake.clean_model([*texts, ""])
+    assert model.letters == want.letters and np.allclose(model.logb, want.logb, atol=1e-12)
+
+
 @needs
 def test_swaps_outside_the_list_are_learned_from_their_source(spark):
     seed = spark.read.parquet(f"{D}/topic_seed.parquet")
