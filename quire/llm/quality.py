@@ -15,14 +15,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.session import arrow_rows, ship
+from quire.session import arrow_rows, discard, materialize, ship
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _MARK = re.compile(r"\s*(?:[-*•·+‣▪◦●○■□✓→>]+(?=\s)|\d{1,3}(?:\.\d{1,3})*[.)\]]?(?=\s)|[A-Za-zА-Яа-я][.)](?=\s)|\(\w{1,3}\)(?=\s)|[ivxlcIVXLC]+[.)](?=\s)|\[[ xX\d]*\]|#{1,6}(?=\s)|§)")
@@ -80,14 +80,34 @@ class Language:
         return float(self.order[at].sum()) / n if n else 0.0
 
 
-def learn(texts: list[str], least: int = 2, max_words: int = 50_000) -> Language:
-    """Letter order and common words (those of at least `least` occurrences) of clean sample texts."""
+#: A common word is at least every COMMON-th word of the samples, so there are at most that many, and stands there twice.
+COMMON, LEAST = 100_000, 2
+
+
+def _tally(texts: Iterable[str]) -> tuple[Counter, np.ndarray]:
+    """Occurrences of the words of some texts, and of each pair of letters."""
     n: Counter = Counter()
-    pair = np.zeros((_SIZE, _SIZE))
+    pair = np.zeros(_SIZE * _SIZE, np.int64)
     for t in texts:
         n.update(WORD.findall(t.lower()))
-        x = _TABLE[_codes(t)]
-        np.add.at(pair, (x[:-1], x[1:]), 1)
+        x = _TABLE[_codes(t)].astype(np.int64)
+        pair += np.bincount(x[:-1] * _SIZE + x[1:], minlength=_SIZE * _SIZE)
+    return n, pair
+
+
+def learn(texts: Iterable[str]) -> Language:
+    """Letter order and common words of clean texts."""
+    n, pair = _tally(texts)
+    least = _floor(sum(n.values()))
+    return _language(pair, (w for w, c in n.items() if c >= least))
+
+
+def _floor(total: int) -> int:
+    return max(LEAST, -(-total // COMMON))
+
+
+def _language(pairs: np.ndarray, common: Iterable[str]) -> Language:
+    pair = pairs.reshape(_SIZE, _SIZE).astype(float)
     order, known = np.full((_SIZE, _SIZE), -2.0), np.ones((_SIZE, _SIZE), bool)
     for first, size in ((2, len(_LATIN)), (2 + len(_LATIN), len(_CYRILLIC))):  # by chance among the letters of one script
         own = np.r_[0, first : first + size]
@@ -98,12 +118,31 @@ def learn(texts: list[str], least: int = 2, max_words: int = 50_000) -> Language
     known[1] = known[:, 1] = known[0, 0] = False
     known[2 + len(_LETTERS) :] = known[:, 2 + len(_LETTERS) :] = False
     order[~known] = 0
-    return Language(order.astype(np.float32).ravel(), known.ravel(), frozenset(w for w, c in n.most_common(max_words) if c >= least))
+    return Language(order.astype(np.float32).ravel(), known.ravel(), frozenset(common))
 
 
-def language(samples: DataFrame, text: str = "text", max_rows: int = 2000) -> Language:
-    """Learn from a bounded table of clean sample texts (max_rows rows)."""
-    return learn([r[0] for r in samples.select(text).where(F.col(text).isNotNull()).orderBy(F.xxhash64(text)).limit(max_rows).collect()])
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, pair, n): counts of words, pair -1, and of pairs of letters, word null."""
+    for b in batches:
+        n, pair = _tally(b.column(0).to_pylist())
+        at = np.flatnonzero(pair)
+        yield pa.RecordBatch.from_arrays([pa.array([*n, *[None] * len(at)], pa.string()), pa.array([-1] * len(n) + at.tolist(), pa.int32()), pa.array([*n.values(), *pair[at].tolist()], pa.int64())], ["word", "pair", "n"])
+
+
+def language(samples: DataFrame, text: str = "text") -> Language:
+    """Learn from all rows of a table of clean texts, counted on the cluster; the pairs of letters and the common words, at
+    most COMMON, come to the driver."""
+    ship(samples.sparkSession)
+    arrow_rows(samples.sparkSession, 2000)
+    src = samples.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
+    n = materialize(src.mapInArrow(_tallies, "word string, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n")), "ql-tally")
+    pair = np.zeros(_SIZE * _SIZE, np.int64)
+    for r in n.where("word IS NULL").collect():
+        pair[r["pair"]] = r["n"]
+    least = _floor(n.where("word IS NOT NULL").agg(F.sum("n")).first()[0] or 0)
+    common = [r[0] for r in n.where((F.col("word").isNotNull()) & (F.col("n") >= least)).select("word").collect()]
+    discard(n)
+    return _language(pair, common)
 
 
 # measures
@@ -281,6 +320,6 @@ def quality(df: DataFrame, lang: Language, id_col: str, text_col: str) -> DataFr
     """
     ship(df.sparkSession)
     arrow_rows(df.sparkSession, 2000)
-    copy = df.sparkSession.sparkContext.broadcast(lang)  # letters and at most max_words words
+    copy = df.sparkSession.sparkContext.broadcast(lang)  # letters and at most COMMON words
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     return src.mapInArrow(lambda it: _rows(it, copy.value), f"id {dict(src.dtypes)['id']}, {STATS}, kind string")

@@ -512,6 +512,22 @@ def test_quality_kinds(spark):
     assert quality.quality(df.limit(0), lang, "doc_id", "text").count() == 0
 
 
+def test_language_of_texts_is_learned_from_all_samples(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("aeéiknоtрs") for _ in range(rng.randrange(2, 5))) for _ in range(8)) for _ in range(2300)]
+    got = quality.language(spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string"))
+    n = {}
+    for t in texts:
+        for w in re.findall(r"\w+", t):
+            n[w] = n.get(w, 0) + 1
+    assert got.common == {w for w, c in n.items() if c >= 2}
+    want = quality.learn([*texts, ""])
+    assert np.array_equal(got.order, want.order) and got.common == want.common
+    # rare words of many are not common, however many there are: one in COMMON words or more
+    many = quality.learn(["the " * 250_000 + "rare " * 2 + "seldom " * 3])
+    assert many.common == {"the", "seldom"}
+
+
 def test_each_measure_decides_some_text(monkeypatch):
     lang = quality.learn([FINNISH, POLISH] * 2)
     own = FINNISH.replace("\n", " ").split()
