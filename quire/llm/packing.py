@@ -19,8 +19,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.llm import tokens
 from quire.llm.words import words
 from quire.session import arrow_rows, materialize, ship
 
@@ -42,15 +45,20 @@ def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _terms(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    """Words of each text and how often it has them; with a vocabulary, its tokens too."""
     code = _Codes()
     for b in batches:
-        each = [words(t) if t else [] for t in b.column(1).to_pylist()]
+        texts = b.column(1).to_pylist()
+        each = [words(t) if t else [] for t in texts]
         size = np.array([len(w) for w in each], np.int64)
         codes = np.fromiter(map(code.__getitem__, chain.from_iterable(each)), np.uint64, int(size.sum()))
         u, n = np.unique((np.repeat(np.arange(len(each), dtype=np.uint64), size) << np.uint64(32)) | codes, return_counts=True)
         starts = np.searchsorted(u, np.arange(len(each) + 1, dtype=np.uint64) << np.uint64(32))
-        yield pa.RecordBatch.from_arrays([b.column(0), _binary(u.astype(np.uint32), starts), _binary(np.minimum(n, 65535).astype(np.uint16), starts)], ["id", "terms", "tf"])
+        out = {"id": b.column(0), "terms": _binary(u.astype(np.uint32), starts), "tf": _binary(np.minimum(n, 65535).astype(np.uint16), starts)}
+        if vocabulary:
+            out["tokens"] = pa.array(map(vocabulary.value.counts.tokens, texts), pa.int64())
+        yield pa.RecordBatch.from_pydict(out)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,52 +225,66 @@ def _pack_shards(batches: Iterator[pa.RecordBatch], specs: list[tuple[int, int]]
 
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     for no, t in enumerate(_blocks(batches, shard)):
-        lists = t.column("items").to_pylist()
+        items = t.column("items").combine_chunks()
+        of = pc.list_parent_indices(items).to_numpy()
+        each = {k: items.flatten().field(k).to_numpy() for k in ("spec", "part", "start", "size")}
         post = Postings(t.column("terms").to_pylist(), t.column("tf").to_pylist(), index)
-        ids = t.column("id").to_pylist()
         # the texts that most others share their lead with open containers first, before other seeds take their kin
         _, kin, count = np.unique(t.column("lead").to_numpy(), return_inverse=True, return_counts=True)
         first = np.argsort(np.argsort(-count[kin], kind="stable"), kind="stable")
-        rows = []
+        rows, names, caps, full = [], [], [], []
         for spec, cap in specs:
-            own = [(i, x) for i, xs in enumerate(lists) for x in xs if x["spec"] == spec]
-            if not own:
+            own = np.flatnonzero(each["spec"] == spec)
+            if not len(own):
                 continue
-            at = np.array([i for i, _ in own])
-            size = np.array([x["size"] for _, x in own])
+            at, size = of[own], each["size"][own]
             box = pack(size, cap, lambda i, at=at: post.scores(int(at[i]))[at], np.argsort(first[at], kind="stable").tolist())
-            fill = np.bincount(box, size)
-            for (i, x), b in zip(own, box):
-                rows.append((spec, cap, f"{spec}-{level}-{part}-{no}-{b}", ids[i], x["part"], x["start"], x["size"], bool(fill[b] < loose * cap)))
-        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["spec", "cap", "container", "id", "part", "start", "size", "loose"])
+            rows.append(own)
+            names += [f"{spec}-{level}-{part}-{no}-{b}" for b in box.tolist()]
+            caps.append(np.full(len(own), cap, np.int32))
+            full.append(np.bincount(box, size)[box] < loose * cap)
+        if rows:
+            own = np.concatenate(rows)
+            ids = t.column("id").combine_chunks().take(pa.array(of[own]))
+            yield pa.RecordBatch.from_arrays([pa.array(each["spec"][own]), pa.array(np.concatenate(caps)), pa.array(names), ids, *(pa.array(each[k][own]) for k in ("part", "start", "size")), pa.array(np.concatenate(full))], ["spec", "cap", "container", "id", "part", "start", "size", "loose"])
 
 
-def pack_texts(df: DataFrame, sizes: DataFrame, specs: list[tuple[int, int]], id_col: str, text_col: str, shard: int = 384, levels: int = 3, loose: float = 0.97) -> DataFrame:
+def _full(spec: int, cap: int) -> Column:
+    """The containers that a text fills alone, as an array."""
+    each = lambda p: F.struct(F.lit(spec).alias("spec"), F.lit(cap).alias("cap"), F.concat_ws("-", F.lit(str(spec)), F.lit("f"), "id", p.cast("string")).alias("container"), p.alias("part"), (p.cast("long") * cap).alias("start"), F.lit(cap).cast("long").alias("size"))
+    numbers = F.when(F.col("tokens") >= cap, F.sequence(F.lit(0), (F.col("tokens") / cap).cast("int") - 1))
+    return F.transform(F.coalesce(numbers, F.array().cast("array<int>")), each)
+
+
+def pack_texts(df: DataFrame, sizes: DataFrame | None, specs: list[tuple[int, int]], id_col: str, text_col: str, shard: int = 384, levels: int = 3, loose: float = 0.97) -> DataFrame:
     """(spec_id, capacity, container, id, part, token_from, tokens): every text of every container size.
 
-    `sizes` holds (id, tokens). Only texts longer than the capacity are split; their rows have part 0, 1, ... and the
-    token at which each part starts. Texts of no tokens fit anywhere and get a row of 0 tokens. Null ids are dropped,
-    repeated ids packed once; sizes of capacity <= 0 or null are left out. An empty table gives an empty result. The
+    `sizes` holds (id, tokens); without it the tokens are counted where the words are, in the same pass. Only texts longer
+    than the capacity are split; their rows have part 0, 1, ... and the token at which each part starts. Texts of no tokens
+    fit anywhere and get a row of 0 tokens. Null ids are dropped, repeated ids packed once; sizes of capacity <= 0 or null are left out. An empty table gives an empty result. The
     index of the words' frequencies has PLACES hashed places at any size; words of one place share their frequency.
     """
     spark = df.sparkSession
     ship(spark)
     arrow_rows(spark, 2000)
     specs = sorted({(int(s), int(c)) for s, c in specs if s is not None and c is not None and c > 0})
-    n = sizes.groupBy("id").agg(F.max("tokens").alias("tokens")).select(F.col("id").cast("string").alias("id"), "tokens").where("id is not null")
-    vec = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null").mapInArrow(_terms, "id string, terms binary, tf binary").dropDuplicates(["id"])
-    base = materialize(vec.join(n, "id"), "pk-items")
+    src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null")
+    if sizes is None:
+        voc = tokens.vocabulary(spark, tokens.VOCABULARY)
+        vec = src.mapInArrow(lambda it: _terms(it, voc), "id string, terms binary, tf binary, tokens long")
+        # of a repeated id the longest text, as with the most tokens of `sizes`
+        vec = vec.groupBy("id").agg(F.max(F.struct("tokens", "terms", "tf")).alias("x")).select("id", "x.terms", "x.tf", "x.tokens")
+    else:
+        n = sizes.groupBy("id").agg(F.max("tokens").alias("tokens")).select(F.col("id").cast("string").alias("id"), "tokens").where("id is not null")
+        vec = src.mapInArrow(_terms, "id string, terms binary, tf binary").dropDuplicates(["id"]).join(n, "id")
+    base = materialize(vec, "pk-items")
     index = index_of(base)
     copy = spark.sparkContext.broadcast(index)
     total = index.texts
-    parts, cols = None, ["spec", "cap", "container", "id", "part", "start", "size"]
-    for spec, cap in specs:
-        full = base.where(F.col("tokens") >= cap).select("id", "tokens", F.explode(F.sequence(F.lit(0), (F.col("tokens") / cap).cast("int") - 1)).alias("part"))
-        full = full.select(F.lit(spec).alias("spec"), F.lit(cap).alias("cap"), F.concat_ws("-", F.lit(str(spec)), F.lit("f"), "id", F.col("part").cast("string")).alias("container"), "id", F.col("part").cast("int").alias("part"), (F.col("part").cast("long") * cap).alias("start"), F.lit(cap).cast("long").alias("size"))
-        parts = full if parts is None else parts.union(full)
-    if parts is None:
+    if not specs:
         return spark.createDataFrame([], "spec_id int, capacity int, container string, id string, part int, token_from long, tokens long")
+    cols = ["spec", "cap", "container", "id", "part", "start", "size"]
+    parts = base.where(F.col("tokens") >= min(c for _, c in specs)).select("id", F.explode(F.flatten(F.array(*[_full(s, c) for s, c in specs]))).alias("x")).select("x.*", "id")
     rest = F.array(*[F.struct(F.lit(s).alias("spec"), F.when(F.col("tokens") >= c, (F.col("tokens") / c).cast("int")).otherwise(0).cast("int").alias("part"), (F.floor(F.col("tokens") / c) * c).cast("long").alias("start"), (F.col("tokens") % c).cast("long").alias("size"), (F.col("tokens") >= c).alias("cut")) for s, c in specs])
     items = base.select("id", "terms", "tf", F.filter(rest, lambda x: ~(x["cut"] & (x["size"] == 0))).alias("items"))
     done = parts.select(*cols)

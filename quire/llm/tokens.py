@@ -5,12 +5,18 @@ range-partitioned, so that every partition is a slice of one prefix trie; walkin
 shared prefix is kept and only the new bytes are worked on. The state of a prefix is the last token of its encoding and
 its number of tokens: the encoding of a longer prefix is that of a shorter one plus the one token that may follow it,
 which is exact for merge-ranked BPE. The counts of the terminal pieces are then joined to the documents.
+
+An operator that reads the texts in Python anyway counts them there instead, with the same pattern and vocabulary
+(`PieceCounts`): no pieces are shuffled and no second pass over the texts is needed.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -41,6 +47,7 @@ class Vocabulary:
         self.lengths = {e: tuple(sorted(n | {1}, reverse=True)) for e, n in ends.items()}
         self.made: dict[int, tuple[int, int] | None] = {}
         self.pair: dict[tuple[int, int], bool] = {}
+        self.counts = PieceCounts(self)
 
     def __getstate__(self) -> dict[bytes, int]:
         return self.rank
@@ -62,6 +69,21 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def merged(self, piece: bytes) -> int:
+        """The number of tokens of a piece by merging its bytes."""
+        rank, no = self.rank, 1 << 60
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        near = [rank.get(piece[i : i + 2], no) for i in range(len(piece) - 1)]
+        while near and (r := min(near)) < no:
+            i = near.index(r)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del near[i]
+            if i:
+                near[i - 1] = rank.get(parts[i - 1] + parts[i], no)
+            if i < len(near):
+                near[i] = rank.get(parts[i] + parts[i + 1], no)
+        return len(parts)
+
     def parts(self, t: int) -> tuple[int, int] | None:
         """The pair a token is merged from; None for a single byte; (-1, -1) if merging its bytes never gives it."""
         if t not in self.made:
@@ -130,6 +152,42 @@ class Walk:
         return total[-1] if total else 0
 
 
+@lru_cache
+def _cutter(top: int) -> Callable[[str], list[str]]:
+    """PIECES in Python's notation, for texts without characters beyond `top`."""
+    p = re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", PIECES)
+    kinds = "".join(unicodedata.category(chr(c))[0] for c in range(top + 1))
+    for k in "LN":
+        ranges = "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(f"{k}+", kinds))
+        p = p.replace(rf" ?\p{{{k}}}+", f" ?[{ranges}]+").replace(rf"\p{{{k}}}", ranges)
+    return re.compile(p).findall
+
+
+def cut(text: str) -> list[str]:
+    """The pieces of a text, as PIECES gives them in the JVM."""
+    # a table finds the kinds of characters up to U+FFFF; those beyond it are searched among ranges, at three times the cost
+    return _cutter(0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 0x10FFFF)(text)
+
+
+class PieceCounts(dict):
+    """Tokens of the pieces met so far, up to a fixed number of them; any other piece is merged when it is asked for."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 200_000, short: int = 64) -> None:
+        self.v, self.most, self.short = vocabulary, most, short
+
+    def __missing__(self, piece: str) -> int:
+        b = piece.encode("utf-8", "replace")
+        if len(b) > self.short:  # merging takes the square of the length, the walk does not
+            return Walk(self.v).count(b)
+        n = self.v.merged(b)
+        if len(self) < self.most:
+            self[piece] = n
+        return n
+
+    def tokens(self, text: str | None) -> int:
+        return sum(map(self.__getitem__, cut(text))) if text else 0
+
+
 _SENT: dict[tuple[str, str], Broadcast] = {}
 
 

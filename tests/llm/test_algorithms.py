@@ -455,6 +455,27 @@ def test_packing_invariants(spark):
     assert packing.pack_texts(df.limit(0), df.select("id", "tokens").limit(0), [(1, 10)], "id", "text").count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="needs the vocabulary")
+def test_packing_counts_the_tokens_in_its_one_pass_over_the_texts(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokens.VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=rank, special_tokens={})
+    rng = random.Random(4)
+    texts = ["", " ", "a", "a" * 400, "ab" * 900, "-" * 3000, "naïve café’s", "x  \n\n y\t\x85 z", "don't we'll 'twas", "日本語テキスト", "😀🎉 𝔸𝔹 𝟘𝟙 𐍈", "½² Ⅷ ٣٤", "\ue060\ue07c .\ue002"]
+    texts += ["".join(chr(rng.randrange(1, 700)) for _ in range(80)) for _ in range(60)]
+    rows = [*enumerate(texts), (998, None), (2, texts[2]), (3, "short"), (None, "x")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    out = packing.pack_texts(df, None, [(1, 50), (2, 4000)], "id", "text").collect()
+    want = {**{str(i): len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}, "998": 0}
+    for spec, cap in ((1, 50), (2, 4000)):
+        own = sorted((int(r["id"]), r["token_from"], r["part"], r["tokens"]) for r in out if r["spec_id"] == spec)
+        # a text is whole, or cut into full containers and a rest, without a gap
+        assert own == [(int(i), k * cap, k, min(cap, n - k * cap)) for i, n in sorted(want.items(), key=lambda x: int(x[0])) for k in range(max(1, -(-n // cap)))]
+    # small caches and long pieces do not change a count
+    few = tokens.PieceCounts(tokens.Vocabulary(rank), most=3, short=5)
+    assert [few.tokens(t) for t in texts] == [len(enc.encode_ordinary(t)) for t in texts]
+
+
 def test_mixing_meets_shares_and_caps(spark):
     rng = random.Random(4)
     docs = [(i, "big", rng.randrange(1, 300)) for i in range(3000)] + [(10_000 + i, "mid", rng.randrange(1, 300)) for i in range(600)] + [(20_000 + i, "tiny", 50) for i in range(10)] + [(1, None, 5), (2, "mid", None), (3, "mid", 0), (4, "other", 9)]
